@@ -224,11 +224,11 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(materialize(stats.join(known, "doc_id").select("stats", "label", "fold"), "labelled"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
         for batch in batches:
-            at = batch.schema.get_field_index(text_col) if at is None else at
-            texts = [b"" if x is None else x for x in batch.column(at).cast(pa.large_binary()).to_pylist()]
+            texts = [b"" if x is None else x for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
             scores = model.score(statistics(texts)) if texts else np.empty(0)
             yield batch.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # the row is one column, whatever its columns are called
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return whole.mapInArrow(keep, whole.schema).select("row.*")
