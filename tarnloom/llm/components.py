@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -39,7 +39,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("a", "b").dropna().filter("a <> b").distinct(), "links")
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = materialize(_star(_star(edges, large=True), large=False), "links")
+        before, edges = edges, materialize(_star(_star(edges, large=True), large=False), "links")
+        discard(before)
         print_ = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if print_ == seen:
             break

@@ -11,15 +11,21 @@ equal sets form one class; links are searched between classes only.
    most D = (a + b)(1 - t)/(1 + t) shingles. With P > D parts, at least P - D parts are
    equal, so an equality join on (band, part, XOR) finds every link. P follows from the
    band of the smaller set; the larger one also emits for the band below it.
-   Empty parts say nothing and are left out: P has a few spare parts, and only a set with
-   more empty parts than spare ones emits these too (such a pair would be the only one
-   whose equal parts might all be empty).
-3. *Verify.* Candidates must pass a 1024-bit parity sketch (Hamming distance <= D) and
-   then an exact intersection of the two sets.
+   P has spare parts, so a link has more equal parts than spare ones, and a set may leave
+   out as many parts as are spare: empty ones, and those that more than ``HOT_CLASSES``
+   classes share, as a passage makes them that many documents quote. A part is common for
+   both sides or for neither, so a link keeps an equal part unless both its sets have more
+   empty and common parts than spare ones; such sets (copies of one text, above all) leave
+   nothing out.
+3. *Filter and verify.* Candidates must pass a compact parity sketch of about two bits per
+   shingle, each shingle flipping a single bit (Hamming distance <= D), and then an exact
+   intersection of the two sets. Only sets of pairs that pass are ever moved.
 
 Candidates of a part are taken as stars around the part's smallest class rather than as
-pairs. What stars leave open is settled by a last round, which compares only members of
-a part that are not in one component yet, so no link between components is lost.
+pairs. What stars leave open is settled by a last round over parts whose classes are not
+in one component yet: their members' compact sketches are compared in blocks of bounded
+size, spread over tasks, and only pairs that pass the sketch leave a block. So no link
+between components is lost, and no part's pairs are emitted.
 """
 
 from __future__ import annotations
@@ -28,16 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize
+from .store import discard, materialize, release_shuffles
 from .wordscan import U64, mix, shingle_sets
 
 #: Each band holds sizes from its base to BAND_RATIO times it.
 BAND_RATIO = 1.7
-SKETCH_BITS = 1024
+#: Parity sketches have the next power of two of twice their sets' sizes in bits, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 20
+#: Classes that share a part, beyond which sets that can spare the part leave it out.
+HOT_CLASSES = 64
+#: Rows of a block of the last round; a task holds two.
+BLOCK_ROWS = 2048
 #: Shingles that a partition's memory of seen classes may hold (8 bytes each).
 SEEN_CLASSES = 1 << 20
 
@@ -67,7 +78,7 @@ class Bands:
         """Parts of the pairs whose smaller set is in ``band``, and the spare ones among them."""
         smaller = self.bases[band + 1] - 1
         least = self.most_different(smaller + smaller * 100 // self.percent) + 1
-        spare = (least + 31) // 32 if least > 8 else 0
+        spare = (least * 15 + 99) // 100 if least > 8 else 0
         return least + spare, spare
 
     def emitted(self, n: int) -> list[int]:
@@ -89,24 +100,31 @@ def set_class(s: np.ndarray) -> int:
     return int(mix(parity + total + U64(len(s))).view(np.int64)[0])
 
 
-def part_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a sorted set: one for each part that it must be found by."""
-    out = []
+def part_keys(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of a sorted set, one for each part that it must be found by, and for each its band and what the band lets it leave out.
+
+    The latter is one number: the band times 2**32, plus 1 + the parts that can be spared
+    besides empty ones; plus 0 if empty parts alone are too many, and so emitted too.
+    """
+    keys, notes = [], []
     for band in bands.emitted(len(s)):
         n_parts, spare = bands.parts(band)
         part = ((s >> U64(32)) * U64(n_parts)) >> U64(32)
         begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         word, at = np.bitwise_xor.reduceat(s, begin), part[begin]
-        if n_parts - len(begin) > spare:
+        left = spare - (n_parts - len(begin))
+        if left < 0:
             empty = np.setdiff1d(np.arange(n_parts, dtype=np.uint64), at)
             word, at = np.concatenate((word, np.zeros(len(empty), dtype=np.uint64))), np.concatenate((at, empty))
-        out.append(mix(word ^ mix(at + U64(band << 40))))
-    return np.concatenate(out)
+        keys.append(mix(word ^ mix(at + U64(band << 40))))
+        notes.append(np.full(len(word), (band << 32) + max(left + 1, 0), dtype=np.int64))
+    return np.concatenate(keys), np.concatenate(notes)
 
 
 def parity_sketch(s: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parities, as longs: shingle h flips bit h mod SKETCH_BITS."""
-    odd = np.bincount((s & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parities as longs: shingle h flips bit h mod the number of bits, so that half a sketch folded onto the other is the smaller sketch."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(2 * len(s) - 1, 0).bit_length()))
+    odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -123,11 +141,12 @@ def _list_array(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, sketches = [], [], []
             for s in shingle_sets(_texts(batch.column(1)), words):
                 sizes.append(len(s))
                 names.append(set_class(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "cls"])
+                sketches.append(parity_sketch(s) if len(s) else s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), _list_array(sketches, pa.int64())], ["doc_id", "n_shingles", "cls", "sketch"])
 
     return run
 
@@ -135,52 +154,176 @@ def _signatures(words: int):
 def _keys(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
+
+        def result(keys: list[np.ndarray], names: list[np.ndarray], notes: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(notes))], ["key", "cls", "note"])
+
         for batch in batches:
-            keys, names = [], []
-            held = 0
+            keys, names, notes, held = [], [], [], 0
             for s in shingle_sets(_texts(batch.column(0)), words):
                 if not len(s) or (name := set_class(s)) in seen:
                     continue
                 if len(seen) < SEEN_CLASSES:
                     seen.add(name)
-                keys.append(part_keys(s, bands))
-                names.append(np.full(len(keys[-1]), name, dtype=np.int64))
-                held += len(keys[-1])
+                own, note = part_keys(s, bands)
+                keys.append(own)
+                notes.append(note)
+                names.append(np.full(len(own), name, dtype=np.int64))
+                held += len(own)
                 if held > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], ["key", "cls"])
-                    keys, names, held = [], [], 0
+                    yield result(keys, names, notes)
+                    keys, names, notes, held = [], [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], ["key", "cls"])
+                yield result(keys, names, notes)
 
     return run
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            sets = list(shingle_sets(_texts(batch.column(0)), words))
-            names = pa.array([set_class(s) for s in sets], pa.int64())
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([names, sizes, _list_array([parity_sketch(s) for s in sets], pa.int64()), _list_array(sets, pa.int64())], ["cls", "n", "sketch", "shingles"])
+            wanted, rows = batch.column(1).to_pylist(), []
+            for k, s in enumerate(shingle_sets(_texts(batch.column(0)), words)):
+                # another text under a repeated id is of another class; repeated rows are needed once
+                if wanted[k] not in seen and set_class(s) == wanted[k]:
+                    seen.add(wanted[k])
+                    rows.append((wanted[k], s))
+            yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in rows], pa.int64()), _list_array([s for _, s in rows], pa.int64())], ["cls", "shingles"])
 
     return run
 
 
-def _stars(keys: DataFrame) -> DataFrame:
-    """``(key, lead, cls)``: each part's classes other than its smallest."""
-    smallest = F.first("cls").over(Window.partitionBy("key").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return keys.withColumn("lead", smallest).filter("cls <> lead").distinct()
+def _shared(keys: DataFrame) -> DataFrame:
+    """``(key, cls, note, hot)`` of the parts that several classes share, each class once."""
+    of_key = Window.partitionBy("key")
+    before = F.lag("cls").over(of_key.orderBy("cls"))
+    once = keys.withColumn("before", before).filter("before is null or before <> cls")
+    return once.withColumn("n", F.count("*").over(of_key)).filter("n > 1").select("key", "cls", "note", (F.col("n") > HOT_CLASSES).alias("hot"))
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """``(key, lead, cls)``: each part's classes other than its smallest, common parts left out where they can be."""
+    own = F.col("note").bitwiseAND(F.lit((1 << 32) - 1))
+    heavy = shared.filter("hot").groupBy("cls", "note").agg(F.count("*").alias("n")).filter(F.col("n") >= own).select("cls", "note")
+    kept = shared.filter("not hot").unionByName(shared.filter("hot").join(heavy, ["cls", "note"], "left_semi").select(*shared.columns))
+    smallest = F.min("cls").over(Window.partitionBy("key").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return kept.select("key", "cls").withColumn("lead", smallest).filter("cls <> lead")
+
+
+def _end(sets: DataFrame, x: str, *columns: str) -> DataFrame:
+    """Columns of ``sets`` for end ``x`` of a pair."""
+    return sets.select(F.col("cls").alias(x), *(F.col(c).alias(c + x) for c in columns))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link."""
-    small = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}"))
-    full = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"shingles{x}"))
-    apart = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    most = (F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent)
-    near = pairs.join(small("a"), "a").join(small("b"), "b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (apart <= most)).select("a", "b", "na", "nb")
+def _possible(percent: int) -> Column:
+    """By sizes and by the sketches' Hamming distance, a pair may link.
+
+    Sizes that may link differ by a factor below two, so one sketch is folded once at most.
+    """
+    a, b = F.col("sketcha"), F.col("sketchb")
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    folded = lambda x: xor(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")))
+    difference = F.when(F.size(a) > F.size(b), xor(folded(a), b)).when(F.size(a) < F.size(b), xor(a, folded(b))).otherwise(xor(a, b))
+    apart = F.aggregate(difference, F.lit(0), lambda n, x: n + F.bit_count(x))
+    sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return sized & F.when(sized, apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
+def _links(percent: int) -> Column:
+    """By its intersection, a pair links."""
     both = F.size(F.array_intersect("shinglesa", "shinglesb")).cast("long")
-    return near.join(full("a"), "a").join(full("b"), "b").filter(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b")
+    return both * 100 >= (F.col("na") + F.col("nb") - both) * percent
+
+
+def _passing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that the compact sketches let pass, with their sizes."""
+    near = pairs.join(_end(classes, "a", "n", "sketch"), "a").join(_end(classes, "b", "n", "sketch"), "b")
+    return near.filter(_possible(percent)).select("a", "b", "na", "nb")
+
+
+def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``near(a, b, na, nb)`` that link."""
+    return near.join(_end(sets, "b", "shingles"), "b").join(_end(sets, "a", "shingles"), "a").filter(_links(percent)).select("a", "b")
+
+
+def _folded(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def block_pairs(names: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
+    """(a, b, na, nb) of one block's pairs that may link: of different roots, and of different sides if there are two."""
+    out: list[tuple[int, int, int, int]] = []
+    both = len(np.unique(sides)) > 1
+    order = np.lexsort((names, sizes))
+    names, roots, sizes, sides = names[order], roots[order], sizes[order], sides[order]
+    widths = np.array([len(sketches[k]) for k in order])
+    by_width = {w: np.stack([sketches[k] for k, of in zip(order, widths, strict=True) if of == w]) for w in np.unique(widths).tolist()}
+    first = {w: int(np.searchsorted(widths, w)) for w in by_width}  # widths never fall as sizes grow
+    for w, own in by_width.items():
+        wider = [(first[w], own, True)]
+        if 2 * w in by_width:
+            wider.append((first[2 * w], _folded(by_width[2 * w]), False))
+        for k in range(len(own)):
+            i = first[w] + k
+            for base, others, same in wider:
+                start = k + 1 if same else 0
+                stop = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right")) - base
+                stop = min(stop, len(others))
+                if start >= stop:
+                    continue
+                rest = slice(base + start, base + stop)
+                open_ = (roots[rest] != roots[i]) & ((sides[rest] != sides[i]) | (not both))
+                if not open_.any():
+                    continue
+                apart = np.bitwise_count(others[start:stop][open_] ^ own[k]).sum(axis=1, dtype=np.int64)
+                at = np.flatnonzero(open_)[apart * (100 + percent) <= (sizes[rest][open_] + sizes[i]) * (100 - percent)] + base + start
+                for j in at.tolist():
+                    low, high = (i, j) if names[i] < names[j] else (j, i)
+                    out.append((int(names[low]), int(names[high]), int(sizes[low]), int(sizes[high])))
+    return out
+
+
+def _blocks(percent: int):
+    """Over rows sorted by (key, i, j): each such group is a block; it may go over the end of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emitted(table: pa.Table) -> list[tuple[int, int, int, int]]:
+            column = lambda c: table.column(c).to_numpy()
+            key, i, j = column("key"), column("i"), column("j")
+            names, roots, sizes, sides = column("cls"), column("root"), column("n"), column("side")
+            lists = table.column("sketch").combine_chunks()
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            out = []
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                if end - begin > 1:
+                    own = [flat[offsets[k] : offsets[k + 1]] for k in range(begin, end)]
+                    out += block_pairs(names[begin:end], roots[begin:end], sizes[begin:end], own, sides[begin:end], percent)
+            return out
+
+        def result(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], [], []))], ["a", "b", "na", "nb"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("key", "i", "j"))
+            same = np.ones(batch.num_rows, dtype=bool)
+            for c, v in zip(("key", "i", "j"), last, strict=True):
+                same &= batch.column(c).to_numpy() == v
+            cut = batch.num_rows - int(same[::-1].argmin()) if not same.all() else 0
+            if cut:
+                yield result(emitted(pa.Table.from_batches([*held, batch.slice(0, cut)])))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield result(emitted(pa.Table.from_batches(held)))
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -189,30 +332,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when 100 * intersection >= percent * union of their shingle sets;
     ``component_id`` is the smallest id reachable by links, the document itself included.
     Null and empty texts and texts of white space have no shingles and their own id. A row
-    whose id is null takes part; it gets the smallest known id of its component, or null.
+    whose id is null gets the component of rows with its very shingles, or null if none of
+    them has an id.
     Repeated rows are answered once each. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     doc = docs.select(F.col(id_col).alias("doc_id"), text)
     id_type = doc.schema["doc_id"].dataType.simpleString()
-    signatures = materialize(doc.mapInArrow(_signatures(words), f"doc_id {id_type}, n_shingles long, cls long"), "signatures")
-
-    stars = materialize(_stars(doc.select("text").mapInArrow(_keys(words, percent), "key long, cls long")), "stars")
-    wanted = stars.select("cls").unionByName(stars.select(F.col("lead").alias("cls"))).distinct()
+    spark = docs.sparkSession
+    signatures = materialize(doc.mapInArrow(_signatures(words), f"doc_id {id_type}, n_shingles long, cls long, sketch array<long>"), "signatures")
+    shared = materialize(_shared(doc.select("text").mapInArrow(_keys(words, percent), "key long, cls long, note long")), "shared")
+    release_shuffles(spark)
+    stars = materialize(_stars(shared), "stars")
+    discard(shared)
+    release_shuffles(spark)
     first_of = signatures.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = wanted.join(first_of, "cls").select("doc_id").distinct()
-    sets = materialize(doc.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(_sets(words), "cls long, n long, sketch array<long>, shingles array<long>").dropDuplicates(["cls"]), "sets")
-
-    # each class against one star centre, then against its other centres that are still apart
-    first = stars.groupBy(F.col("cls").alias("b")).agg(F.min("lead").alias("a"))
-    links = materialize(_verified(first, sets, percent), "verified")
+    pairs = stars.select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
+    wanted = stars.select("cls").unionByName(stars.select(F.col("lead").alias("cls"))).distinct()
+    sketches = signatures.select("doc_id", "cls", F.col("n_shingles").alias("n"), "sketch")
+    classes = materialize(sketches.join(wanted.join(first_of, "cls"), ["cls", "doc_id"]).dropDuplicates(["cls"]), "classes")
+    near = materialize(_passing(pairs, classes, percent), "near")
+    release_shuffles(spark)
+
+    # each class against one star centre, then against its other centres that are still apart, then the rest
+    first = near.groupBy("b").agg(F.min("a").alias("a"))
+    links = _linked(doc, classes, near.join(first, ["a", "b"], "left_semi"), words, percent)
     roots = connected_components(links)
-    others = _apart(stars.select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), roots).join(first, ["a", "b"], "left_anti")
-    links = materialize(links.unionByName(_verified(others, sets, percent)), "verified")
+    others = materialize(_apart(near, roots), "near")
+    links = materialize(links.unionByName(_linked(doc, classes, others, words, percent)), "linked")
     roots = connected_components(links)
-    rest = _open_pairs(stars, roots).join(stars.select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), ["a", "b"], "left_anti")
-    links = materialize(links.unionByName(_verified(rest, sets, percent)), "verified")
+    rest = materialize(_open_pairs(stars, classes, roots, percent), "near")
+    release_shuffles(spark)
+    links = materialize(links.unionByName(_linked(doc, classes, rest, words, percent)), "linked")
     roots = connected_components(links)
+    discard(stars, near, others, rest)
+    release_shuffles(spark)
 
     of_class = first_of.join(roots.withColumnRenamed("node", "cls"), "cls")
     of_root = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -224,21 +378,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return keyed.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce(found, "doc_id").alias("component_id"))
 
 
+def _linked(doc: DataFrame, classes: DataFrame, near: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links among ``near``, written out; shingles are made again, only for the texts that it names."""
+    named = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+    chosen = classes.select("cls", "doc_id").join(named, "cls")
+    sets = materialize(doc.join(chosen, "doc_id").select("text", "cls").mapInArrow(_sets(words), "cls long, shingles array<long>"), "sets")
+    links = materialize(_verified(near, sets, percent), "linked")
+    discard(sets)
+    release_shuffles(doc.sparkSession)
+    return links
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     end = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root{x}"))
     joined = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
-    return joined.filter(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b")
+    return joined.filter(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select(*pairs.columns)
+
 
+def _open_pairs(stars: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one part's classes that are in different components and that their sketches let pass.
 
-def _open_pairs(stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one part's classes that no component holds together yet."""
+    A part with many classes is dealt into blocks by the classes' hash, and each pair of its
+    blocks is a group of its own.
+    """
     members = stars.select("key", "cls").unionByName(stars.select("key", F.col("lead").alias("cls"))).distinct()
     placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("key")
-    open_ = materialize(placed.join(mixed, "key"), "open")
-    left, right = open_.select("key", F.col("cls").alias("a"), F.col("root").alias("roota")), open_.select("key", F.col("cls").alias("b"), F.col("root").alias("rootb"))
-    return left.join(right, "key").filter("a < b and roota <> rootb").select("a", "b").distinct()
+    # of two classes one is the star's centre, and that pair is known
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high and m > 2")
+    n_blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    open_ = placed.join(mixed.select("key", n_blocks.alias("n_blocks")), "key").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "cls", "root", "side")
+    rows = dealt.join(classes.select("cls", "n", "sketch"), "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(_blocks(percent), "a long, b long, na long, nb long").distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -6,6 +6,7 @@ blocks and local checkpoints do not.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,4 +41,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tarnloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tarnloom_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner delete the shuffle files of plans that are done.
+
+    It does so when the driver collects the plans as garbage, which a driver with a large
+    heap may not do for hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
