@@ -17,6 +17,7 @@ from ..functions import metadata as md
 from ..functions import mime as mm
 from ..functions import text as tx
 from ..functions import uri as ur
+from ..operators import accounts as ac
 from ..operators import agentlog as ag
 from ..operators import cache as ca
 from ..operators import chunking as ch
@@ -32,6 +33,7 @@ from ..sources import layout as ly
 from ..streaming import ingest as st
 from ..streaming import sweeper as sw
 from . import ingest as pi
+from . import worker as wo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -646,6 +648,28 @@ def jb_ocr_errors(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", jb.classify(jb.ocr_error_class(error))["reason"].alias("reason"))
 
 
+@query(_REASONS + """, l AS (SELECT event_id AS job_id, user_id % 3 + 1 AS attempt, error_class = 'ConnectorNotConfiguredError' AS ok, reason, NOT retryable OR user_id % 3 + 1 >= 3 AS is_terminal FROM f)
+       SELECT job_id, CAST(attempt AS BIGINT) AS attempt, CASE WHEN ok THEN 'succeeded' WHEN is_terminal THEN 'failed' ELSE 'running' END AS status, CASE WHEN NOT ok THEN reason END AS failure_reason FROM l""")
+def jb_worker(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    failures = _failures(e).select(F.col("event_id").alias("job_id"), F.when(F.col("error_class") != "ConnectorNotConfiguredError", F.col("error_class")).alias("error_class"), "error")
+    jobs = e.select(F.col("event_id").alias("job_id"), "user_id", F.lit("s").alias("source"), (F.col("user_id") % 3).alias("attempts"))
+    return wo.outcomes(jobs, failures, F.to_timestamp(F.lit(AS_OF))).events.select("job_id", "attempt", "status", "failure_reason")
+
+
+@query("""SELECT c_custkey AS id, c_custkey % 4 < 2 AND c_custkey = min(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 4) AS created FROM customer""")
+def snk_users(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat((F.col("c_custkey") % 4).cast("string"), F.lit("."), F.col("c_nationkey").cast("string")).alias("email"), F.col("c_custkey").alias("created_at"))
+    taken = c.filter("id % 4 in (2, 3)").withColumn("id", -F.col("id"))
+    return ac.create_users(taken, c).select("id", "created")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'New' ELSE c_name END AS name, c_custkey % 5 = 0 AS updated FROM customer""")
+def flt_update_users(spark, sf_dir):
+    users = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("old").alias("updated_at"))
+    return ac.update_users(users, users.filter("id % 5 = 0").select("id", F.lit("New").alias("name")), ["name"], F.lit("new")).select("id", "name", (F.col("updated_at") == "new").alias("updated"))
+
+
 # ── answer cache ──
 
 

@@ -160,3 +160,30 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     batch = spark.createDataFrame([("a", 0)], "document_id string, chunk_index int")
     st.write_chunks(batch, f"{root}/out", 1)
     assert st.current_chunks(spark, f"{root}/out").filter("document_id = 'a'").count() == 1
+
+
+def test_accounts(spark):
+    from tarnloom.operators import accounts as ac
+
+    users = spark.createDataFrame([(1, "a@x", "A", "user", "old")], "id int, email string, name string, role string, updated_at string")
+    new = spark.createDataFrame([(2, "a@x", 1), (3, "b@x", 2), (4, "b@x", 1)], "id int, email string, created_at int")
+    assert {r.id: r.created for r in ac.create_users(users, new).collect()} == {2: False, 3: False, 4: True}
+    assert ac.set_role(users, 1, "admin").first().role == "admin" and ac.by_email(users, "a@x").count() == 1
+    with pytest.raises(ValueError):
+        ac.set_role(users, 1, "root")
+    tokens = spark.createDataFrame([("t", False), ("s", False)], "token string, revoked boolean")
+    assert [r.revoked for r in ac.revoke(tokens, "t").orderBy("token").collect()] == [False, True]
+
+
+def test_worker_pass(spark):
+    from tarnloom.plans import worker as wo
+
+    jobs = spark.createDataFrame([("ok", "u", "s", 0), ("again", "u", "s", 1), ("out", "u", "s", 2), ("bad", "u", "s", 0), ("lost", "u", "s", 0)], "job_id string, user_id string, source string, attempts int")
+    results = spark.createDataFrame([("ok", None, None), ("again", "SourceFetchError", "e"), ("out", "SourceFetchError", "e" * 3000), ("bad", "LowTextYieldError", None)], "job_id string, error_class string, error string")
+    done = wo.outcomes(jobs, results, F.to_timestamp(F.lit("2024-01-01")))
+    assert {r.job_id: r.status for r in done.events.collect()} == {"ok": "succeeded", "again": "running", "out": "failed", "bad": "failed"}
+    assert {r.job_id: (r.is_terminal, len(r.error or "")) for r in done.dead_letters.collect()} == {"again": (False, 1), "out": (True, 2000), "bad": (True, 0)}
+    assert [(r.job_id, r.attempts) for r in done.again.collect()] == [("again", 2)]
+    table = spark.createDataFrame([("a", "running", b"x", None), ("b", "running", b"y", None)], "id string, status string, payload binary, document_id string")
+    after = {r.id: (r.status, r.payload, r.document_id) for r in wo.finish(table, spark.createDataFrame([("a", "d")], "id string, document_id string")).collect()}
+    assert after == {"a": ("succeeded", None, "d"), "b": ("running", bytearray(b"y"), None)}
