@@ -83,7 +83,7 @@ DATE_FORMS = [
 
 
 def dates_of_form(text: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
-    """Array of ``struct<start, date>`` of a form's valid dates, null where there is none."""
+    """The first valid date of a form, ``struct<start, day>``; null where there is none."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     y, m, d = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups)
@@ -99,7 +99,8 @@ def dates_of_form(text: Column, pattern: str, groups: tuple[int, int, int]) -> C
         return F.struct((start + p["own"]).alias("at"), first.alias("first"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<start:int,day:date>").alias("first"))
-    return F.aggregate(parts, begin, step, lambda s: s["first"])
+    # one search decides for most texts; only those with a match are taken apart
+    return F.when(text.rlike(pattern), F.aggregate(parts, begin, step, lambda s: s["first"]))
 
 
 def document_date(text: Column) -> Column:
