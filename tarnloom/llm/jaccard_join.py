@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, contracted
 from .store import discard, materialize, release_shuffles
 from .wordscan import U64, mix, shingle_sets
 
@@ -252,12 +252,17 @@ def _folded(sketches: np.ndarray) -> np.ndarray:
     return sketches[:, :half] ^ sketches[:, half:]
 
 
-def block_pairs(names: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
-    """(a, b, na, nb) of one block's pairs that may link: of different roots, and of different sides if there are two."""
+def block_pairs(names: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray, earlier: list[np.ndarray], percent: int) -> list[tuple[int, int, int, int]]:
+    """(a, b, na, nb) of one block's pairs that may link: of different roots, and of different sides if there are two.
+
+    A pair that shares an earlier part is left to that part, so copies that share dozens of
+    parts leave one pair and not dozens.
+    """
     out: list[tuple[int, int, int, int]] = []
     both = len(np.unique(sides)) > 1
     order = np.lexsort((names, sizes))
     names, roots, sizes, sides = names[order], roots[order], sizes[order], sides[order]
+    known = [frozenset(earlier[k].tolist()) for k in order]
     widths = np.array([len(sketches[k]) for k in order])
     by_width = {w: np.stack([sketches[k] for k, of in zip(order, widths, strict=True) if of == w]) for w in np.unique(widths).tolist()}
     first = {w: int(np.searchsorted(widths, w)) for w in by_width}  # widths never fall as sizes grow
@@ -280,6 +285,8 @@ def block_pairs(names: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketche
                 apart = np.bitwise_count(others[start:stop][open_] ^ own[k]).sum(axis=1, dtype=np.int64)
                 at = np.flatnonzero(open_)[apart * (100 + percent) <= (sizes[rest][open_] + sizes[i]) * (100 - percent)] + base + start
                 for j in at.tolist():
+                    if not known[i].isdisjoint(known[j]):
+                        continue
                     low, high = (i, j) if names[i] < names[j] else (j, i)
                     out.append((int(names[low]), int(names[high]), int(sizes[low]), int(sizes[high])))
     return out
@@ -295,14 +302,16 @@ def _blocks(percent: int):
             column = lambda c: table.column(c).to_numpy()
             key, i, j = column("key"), column("i"), column("j")
             names, roots, sizes, sides = column("cls"), column("root"), column("n"), column("side")
-            lists = table.column("sketch").combine_chunks()
+            lists, before = table.column("sketch").combine_chunks(), table.column("earlier").combine_chunks()
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            begins, keys = before.offsets.to_numpy(), before.values.to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             out = []
             for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                 if end - begin > 1:
                     own = [flat[offsets[k] : offsets[k + 1]] for k in range(begin, end)]
-                    out += block_pairs(names[begin:end], roots[begin:end], sizes[begin:end], own, sides[begin:end], percent)
+                    others = [keys[begins[k] : begins[k + 1]] for k in range(begin, end)]
+                    out += block_pairs(names[begin:end], roots[begin:end], sizes[begin:end], own, sides[begin:end], others, percent)
             return out
 
         def result(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -357,8 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each class against one star centre, then against its other centres that are still apart, then the rest
     first = near.groupBy("b").agg(F.min("a").alias("a"))
     links = _linked(doc, classes, near.join(first, ["a", "b"], "left_semi"), words, percent)
-    roots = connected_components(links)
-    others = materialize(_apart(near, roots), "near")
+    others = materialize(_apart(near, contracted(links)).join(first, ["a", "b"], "left_anti"), "near")
     links = materialize(links.unionByName(_linked(doc, classes, others, words, percent)), "linked")
     roots = connected_components(links)
     rest = materialize(_open_pairs(stars, classes, roots, percent), "near")
@@ -410,7 +418,10 @@ def _open_pairs(stars: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     open_ = placed.join(mixed.select("key", n_blocks.alias("n_blocks")), "key").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "cls", "root", "side")
-    rows = dealt.join(classes.select("cls", "n", "sketch"), "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # a class's open parts are bounded by its size
+    parts = open_.groupBy("cls").agg(F.collect_list("key").alias("parts"))
+    rows = dealt.join(classes.select("cls", "n", "sketch").join(parts, "cls"), "cls").withColumn("earlier", F.filter("parts", lambda k: k < F.col("key"))).drop("parts")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_blocks(percent), "a long, b long, na long, nb long").distinct()
 
 
@@ -423,4 +434,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     order = Window.partitionBy(id_col).orderBy(F.col(text_col))
     known = docs.join(kept, id_col, "left_semi").withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
-    return known.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    return known.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))
