@@ -17,6 +17,9 @@ source with a third of all rows is spread over as many tasks as its rows need.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +130,26 @@ def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, defau
     return mixed.select("position", "row").orderBy("position").select("row.*")
 
 
+def written_order(docs: DataFrame) -> tuple[DataFrame, tuple[Column, Column]]:
+    """``docs`` and the place of each row in the order that it was written in: a number of its stretch, and one within.
+
+    The order is that of the numbers in the names of Spark's Parquet files, then of the rows
+    in a file: of ``in_mix_order``, the mix. Rows that are not read from such files are
+    written first.
+    """
+    names = [re.search(r"/part-([0-9]+)-[^/]*[.-]c([0-9]+)[.][^/]*$", f) for f in docs.inputFiles()]
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+        as_written = bool(names) and all(names) and len({m.groups() for m in names}) == len(names)
+    except AnalysisException:
+        as_written = False
+    if not as_written:
+        docs = materialize(docs, "in-order")
+    number = lambda pattern, bits: F.shiftleft(F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("long"), bits)
+    stretch = number("^part-([0-9]+)", 40) + number("[.-]c([0-9]+)[.]", 24) + F.floor(F.col("_metadata.row_index") / BUCKET_ROWS)
+    return docs, (stretch, F.col("_metadata.row_index"))
+
+
 def short_array(short: list[tuple[int, int]]) -> Column:
     return F.array(*(F.struct(F.lit(at).cast("long").alias("at"), F.lit(lacks).cast("long").alias("lacks")) for at, lacks in short))
 

@@ -15,9 +15,11 @@ shard and slot from the cell's intervals of ranks.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 SHARDS = 40
 VIRTUAL_NODES = 64
 RING_BITS = 16
@@ -82,7 +84,7 @@ def bounded_walk(counts: np.ndarray, owners: np.ndarray, shards: int) -> list[tu
     return out
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, ring_bits: int = RING_BITS, keep: list[str] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, ring_bits: int = RING_BITS, keep: list[str] | None = None, order: tuple[Column, Column] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, cell, shard, slot``.
 
     Shards hold equally many rows, to one row; slots count from 0 in each without a gap.
@@ -91,6 +93,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their texts' CRC and size, and identical ones are interchangeable. An empty table gives
     an empty one. Other columns are ignored, or carried along as the struct ``row`` if
     named in ``keep``.
+
+    ``order`` is a number of the stretch and a number within it, distinct for each row and
+    the same whenever ``docs`` is read: slots then follow it within their shard, and of a
+    cell's documents the last ones overflow.
     """
     spark = docs.sparkSession
     cell = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 64 - ring_bits).cast("int")
@@ -100,9 +106,23 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = bounded_walk(counts, ring_owners(shards, virtual_nodes, ring_bits), shards)
     plan = spark.createDataFrame(spans, "cell int, begin long, end long, shard int, base long")
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), cell.alias("cell"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []))
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    rows_of = [F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), cell.alias("cell"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else [])]
+    if order:
+        slots = _slots_in_order(docs.select(cell.alias("cell"), order[0].alias("stretch"), order[1].alias("within")), plan)
+        return docs.select(order[0].alias("stretch"), order[1].alias("within"), *rows_of).join(slots, ["stretch", "within"]).select("doc_id", "size", "text_crc32", *(["row"] if keep else []), "cell", "shard", "slot")
+    rows = docs.select(*rows_of)
+    in_cell = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")
+    ranked = rows.withColumn("rank", F.row_number().over(in_cell).cast("long") - 1)
     # 2**ring_bits cells at most, each with one interval but for the few that overflow
     placed = ranked.join(F.broadcast(plan), "cell").filter("rank >= begin and rank < end")
     return placed.select("doc_id", "size", "text_crc32", *(["row"] if keep else []), "cell", "shard", (F.col("base") + F.col("rank") - F.col("begin")).alias("slot"))
+
+
+def _slots_in_order(keys: DataFrame, plan: DataFrame) -> DataFrame:
+    """``stretch, within, shard, slot`` of ``keys(cell, stretch, within)``: narrow rows, numbered a stretch at a time."""
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("stretch", "within")).cast("long") - 1)
+    placed = materialize(ranked.join(F.broadcast(plan), "cell").filter("rank >= begin and rank < end").select("stretch", "within", "shard"), "shard-order")
+    before = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("shard", "stretch").count().select("shard", "stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    nth = F.row_number().over(Window.partitionBy("shard", "stretch").orderBy("within")).cast("long") - 1
+    return placed.withColumn("nth", nth).join(offsets, ["shard", "stretch"]).select("stretch", "within", "shard", (F.col("offset") + F.col("nth")).alias("slot"))

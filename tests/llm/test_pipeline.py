@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tarnloom.llm import queries
+from tarnloom.llm import mixing, queries
 
 from .test_dedup import near_brute
 from .test_scans import contamination_brute
@@ -55,6 +55,25 @@ def test_run(spark, sf):
     assert 0 < out.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_the_mix_reaches_the_shards(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}", "en", f"src{k % 4}", 9) for k in range(2000)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    stages, got = dict(corpus_pipeline.STAGES), []
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    for n, weights in enumerate(({"src0": 4.0}, {"src0": 4.0}, {"src3": 4.0})):
+        monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", weights)
+        path = f"file://{tmp_path}/{n}"
+        stages["source_mixing"](spark, docs, "").write.parquet(path)
+        rows = stages["sharding"](spark, spark.read.parquet(path), "").collect()
+        place = {r.doc_id: r.position for r in mixing.mix_sources(docs, weights).collect()}
+        by = {}
+        for r in sorted(rows, key=lambda r: (r.shard, r.slot)):
+            by.setdefault(r.shard, []).append((r.slot, place[r.doc_id]))
+        assert len(rows) == len({r.doc_id for r in rows}) == 2000 and {len(x) for x in by.values()} == {50}
+        assert all([s for s, _ in x] == [*range(50)] and [p for _, p in x] == sorted(p for _, p in x) for x in by.values())
+        got.append({(r.doc_id, r.shard, r.slot) for r in rows})
+    assert got[0] == got[1] != got[2]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
