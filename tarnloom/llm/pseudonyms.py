@@ -186,19 +186,65 @@ PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in K
 EACH = {kind: (re.compile(pattern), change) for kind, pattern, change in KINDS}
 
 
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 "
+    "LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+SEPARATORS = re.compile("[ -]")
+#: What stands behind a match whose last digits may belong to a value of their own.
+GOES_ON = re.compile("[ -]?[0-9]|[A-Za-z@]|[._%+/:-][A-Za-z0-9@]")
+
+
+def _ends(kind: str, here: re.Match[str]) -> list[int]:
+    """Where the value of this match may end, in the order of trial: cards and IBANs before any separator, too.
+
+    The whole match is first, unless its end may belong to what follows; then the shortest
+    is, so that the choice never depends on digits that get a pseudonym of their own. An
+    IBAN of its country's length is before all others.
+    """
+    text, start, end = here.string, here.start(), here.end()
+    if kind not in ("card", "iban"):
+        return [end]
+    ends = [m.start() for m in SEPARATORS.finditer(text, start, end)]
+    if not GOES_ON.match(text, end):
+        ends = [end, *reversed(ends)]
+    elif kind == "iban" or not ends or ends[0] - start < 13:
+        ends = [*ends, end]
+    if kind == "iban":
+        ends.sort(key=lambda e: len(text[start:e].replace(" ", "")) != IBAN_LENGTHS.get(text[start : start + 2]))
+    return ends
+
+
+def _value_at(f: Feistel, text: str, start: int, back: bool) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the first valid value at ``start``: kinds in order, each at all its lengths."""
+    for kind, (pattern, change) in EACH.items():
+        if here := pattern.match(text, start):
+            for end in _ends(kind, here):
+                if (new := change(f, text[start:end], back)) is not None:
+                    return kind, end, new
+    return None
+
+
+def _kept_apart(f: Feistel, text: str, start: int, end: int, kind: str, new: str, back: bool) -> str:
+    """``new``, walked until it is found in its place as this kind at this length, which makes it reversible."""
+    before, after = text[max(start - 1, 0) : start], text[end : end + 80]
+    while (found := _value_at(f, before + new + after, len(before), back)) is None or found[:2] != (kind, len(before) + len(new)):
+        new = EACH[kind][1](f, new, back)
+    return new
+
+
 def pseudonymised(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every valid value replaced, and (kind, start, end) of each in the text as given."""
     out, found, at, begin = [], [], 0, 0
     while m := PATTERN.search(text, begin):
-        new = None
-        for kind, (pattern, change) in EACH.items():
-            # kinds that match here are tried in order until one is valid
-            if (here := m if kind == m.lastgroup else pattern.match(text, m.start())) and (new := change(f, here[0], back)) is not None:
-                out += text[at : here.start()], new
-                found.append((kind, here.start(), here.end()))
-                at = begin = here.end()
-                break
-        if new is None:
+        if value := _value_at(f, text, m.start(), back):
+            kind, end, new = value
+            if kind in ("card", "iban", "account"):
+                new = _kept_apart(f, text, m.start(), end, kind, new, back)
+            out += text[at : m.start()], new
+            found.append((kind, m.start(), end))
+            at = begin = end
+        else:
             # not a value: go on behind the digits or letters that it began with
             begin = re.compile("[0-9A-Za-z]*").match(text, m.start()).end()
             begin = max(begin, m.start() + 1)
