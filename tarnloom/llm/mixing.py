@@ -1,37 +1,49 @@
-"""Mixing sources to target weights by Pfair scheduling. DataFrame and SQL functions only.
-
-Weights become integer quotas: ``slots`` slots a round, shared out by largest remainder.
-Each source's documents, in a keyed shuffle of their own, are cut into blocks; round r
-takes each source's next ``quota`` blocks, as far as it has any. Within a round block k of
-a source with m blocks in a round of T slots has the release time floor(k * T / m) and the
-deadline ceil((k + 1) * T / m), and each slot goes to the released block with the earliest
-deadline. On one processor this earliest-deadline-first order meets every deadline, so at
-every slot each source has received its share of the round to within less than one block.
-When a source is used up the next round is shared by the others in proportion.
-
-Rounds with the same blocks have the same schedule, and there are at most two shapes of
-round for each source: schedules are computed once per shape, on a table that does not
-grow with the data. Documents are counted and numbered in buckets of bounded size, so a
-source with a third of all rows is spread over as many tasks as its rows need.
+"""Mixing sources to target weights by Pfair scheduling. DataFrame and SQL functions; the driver deals blocks.
+
+Each source's documents, in a keyed shuffle of their own, are cut into blocks. Of a source
+with the share w of the weights block k has the release time floor(k / w) and the deadline
+ceil((k + 1) / w), from the exact weights, and each slot goes to the released block with
+the earliest deadline. On one processor this earliest-deadline-first order meets every
+deadline, so at every slot each source has received its share to within less than one
+block. When a source is used up the others share its slots in proportion: time then runs
+by the sum of the weights that are left, and the bound holds across it.
+
+The driver deals blocks, from nothing but each source's count. As soon as the state of all
+sources recurs after a round of exact quotas, rounds repeat until the next source ends, and
+are written once; weights without a short common round are dealt to the end. Documents are
+counted and numbered in buckets of bounded size, so a source with a third of all rows is
+spread over as many tasks as its rows need.
 """
 
 from __future__ import annotations
 
+import array
+import bisect
+import collections
+import heapq
+import itertools
+import math
 import re
+from collections.abc import Iterator
+from fractions import Fraction
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, new_path
 
-#: Slots of a round: the precision of the weights.
-SLOTS = 240
 BLOCK_ROWS = 8
 #: Rows that are numbered together.
 BUCKET_ROWS = 20_000
-#: Sources that one mix can have; the schedules' tables are proportional to it.
+#: Sources that one mix can have.
 MOST_SOURCES = 400
+#: Slots of a schedule that is broadcast; larger ones are joined as Spark sees fit.
+BROADCAST_SLOTS = 500_000
+#: Rows that the driver collects before it writes them.
+PIECE_ROWS = 500_000
 
 
 def quotas(weighted: DataFrame, slots: int) -> DataFrame:
@@ -45,42 +57,124 @@ def quotas(weighted: DataFrame, slots: int) -> DataFrame:
     return floored.withColumn("quota", (1 + F.col("base") + F.when(nth <= spare, 1).otherwise(0)).cast("long")).select("source", "rows", "weight", "quota")
 
 
-def edf_schedule(blocks: Column) -> Column:
-    """Array of ``struct<slot, member, block, release, deadline>`` for one round.
+def exact_weights(weights: list[float]) -> list[int]:
+    """Integers in the exact proportions of ``weights``, each the decimal number that it prints as; 0 if it is not positive."""
+    exact = [max(Fraction(str(w)), Fraction(0)) for w in weights]
+    common = math.lcm(*(w.denominator for w in exact))
+    return [int(w * common) for w in exact]
 
-    ``blocks`` is an array of the members' numbers of blocks; a member without blocks is
-    never scheduled. Of equal deadlines the first member goes first.
-    """
-    total = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, m: n + m)
-    kind = "array<struct<slot:bigint,member:int,block:bigint,release:bigint,deadline:bigint>>"
-    start = F.struct(F.transform(blocks, lambda m: F.lit(0).cast("long")).alias("done"), F.from_json(F.lit("[]"), kind).alias("out"))
 
-    def window_of(m: Column, i: Column, k: Column) -> Column:
-        release, deadline = F.floor(k * total / m).cast("long"), F.ceil((k + 1) * total / m).cast("long")
-        return F.struct(deadline.alias("deadline"), i.alias("member"), k.alias("block"), release.alias("release"))
+class Stretch(NamedTuple):
+    """``slots`` of a stretch of the mix, (member, block, release, deadline) in order, and how often they come, each time with the next blocks."""
 
-    def step(state: Column, t: Column) -> Column:
-        ready = F.transform(blocks, lambda m, i: F.when((m > 0) & (F.get(state["done"], i) < m) & (F.floor(F.get(state["done"], i) * total / m) <= t), window_of(m, i, F.get(state["done"], i))))
-        # array_min takes the earliest deadline, then the first member; nulls are not ready
-        return F.transform(F.array(F.array_min(ready)), lambda x: F.struct(
-            F.transform(state["done"], lambda n, i: F.when(i == x["member"], n + 1).otherwise(n)).alias("done"),
-            F.array_append(state["out"], F.struct(t.alias("slot"), x["member"].alias("member"), x["block"].alias("block"), x["release"].alias("release"), x["deadline"].alias("deadline"))).alias("out"),
-        ))[0]
+    start: int
+    times: int
+    slots: list[tuple[int, int, int, int]]
 
-    slots = F.when(total > 0, F.sequence(F.lit(0).cast("long"), total - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(slots, start, step, lambda s: s["out"])
 
+def edf_stretches(weights: list[int], blocks: list[int], most: int = 65_536) -> Iterator[Stretch]:
+    """The earliest-deadline-first schedule of all ``blocks`` at positive ``weights``.
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text", slots: int = SLOTS, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, keep: list[str] | None = None) -> DataFrame:
+    By virtual time v a member has received min(weight * v, blocks) in the fluid schedule;
+    their sum is the slot that v falls on, so every window is in closed form. Where the
+    members are in the same state again after a round of exact quotas, the round is
+    repeated for as long as no window reaches the end of a source.
+    """
+    n, everything = len(blocks), sum(blocks)
+    # the members in the order in which they end, with the blocks of those that have ended and the weight of the others
+    order = sorted(range(n), key=lambda i: Fraction(blocks[i], weights[i]))
+    ended = [0, *itertools.accumulate(blocks[i] for i in order)]
+    active = [*itertools.accumulate((weights[i] for i in reversed(order)), initial=0)][::-1]
+    divisor = [*itertools.accumulate((weights[i] for i in reversed(order)), math.gcd, initial=0)][::-1]
+    last = [0] * n
+
+    def slot_of(i: int, k: int, up: bool) -> int:
+        """The slot at which member i has received k blocks in the fluid schedule."""
+        e, w = last[i], weights[i]
+        if e < n and k * weights[order[e]] >= blocks[order[e]] * w:
+            e = last[i] = bisect.bisect_left(range(n), True, lo=e, key=lambda x: k * weights[order[x]] < blocks[order[x]] * w)
+        return ended[e] + (-(-active[e] * k // w) if up else active[e] * k // w)
+
+    received, pending, ready = [0] * n, [(0, i) for i in range(n) if blocks[i]], []
+    out, t, check, epoch, begun, before = [], 0, 0, 0, 0, None
+    while t < everything:
+        if t == check:
+            if len(out) >= most:
+                yield Stretch(t - len(out), 1, out)
+                out, before = [], None
+            end_of = lambda e: ended[e] + active[e] * blocks[order[e]] // weights[order[e]]
+            while end_of(epoch) <= t:
+                epoch, before = epoch + 1, None
+            end, length = end_of(epoch), active[epoch] // divisor[epoch]
+            times = (end - t) // length - 2
+            if before and times > 0 and all(received[i] - before[i] == weights[i] // divisor[epoch] for i in order[epoch:]):
+                if len(out) > length:
+                    yield Stretch(t - len(out), 1, out[:-length])
+                yield Stretch(t - length, times + 1, out[-length:])
+                out, before, t = [], None, t + times * length
+                for i in order[epoch:]:
+                    received[i] += times * (weights[i] // divisor[epoch])
+                pending, ready = [(slot_of(i, received[i], False), i) for i in order[epoch:] if received[i] < blocks[i]], []
+                heapq.heapify(pending)
+            # an end that is within a slot leaves its member's last block to be dealt yet
+            before = list(received) if times > 2 and length <= most else None
+            check = t + length if before else min(max(end, t + 1), t + most)
+        while pending and pending[0][0] <= t:
+            release, i = heapq.heappop(pending)
+            heapq.heappush(ready, (slot_of(i, received[i] + 1, True), i, release))
+        deadline, i, release = heapq.heappop(ready)
+        out.append((i, received[i], release, deadline))
+        received[i] += 1
+        t += 1
+        if received[i] < blocks[i]:
+            heapq.heappush(pending, (slot_of(i, received[i], False), i))
+    if out:
+        yield Stretch(t - len(out), 1, out)
+
+
+def by_weight(weights: list[int], blocks: list[int]) -> Iterator[Stretch]:
+    """The whole mix at exact weights. Members of weight 0 follow, in equal shares, when the others are used up."""
+    start = 0
+    for members, w in (([i for i, w in enumerate(weights) if w > 0], weights), ([i for i, w in enumerate(weights) if w <= 0], [1] * len(weights))):
+        for s in edf_stretches([w[i] for i in members], [blocks[i] for i in members]):
+            yield Stretch(start + s.start, s.times, [(members[i], k, start + r, start + d) for i, k, r, d in s.slots])
+        start += sum(blocks[i] for i in members)
+
+
+def by_quota(quota: list[int], blocks: list[int]) -> Iterator[Stretch]:
+    """The whole mix in rounds of each member's next ``quota`` blocks, as far as it has any; last blocks are in rounds that are not repeated."""
+    edges = sorted({0, *(x for q, b in zip(quota, blocks, strict=True) for x in (-(-b // q) - 1, -(-b // q)))})
+    start = 0
+    for edge, following in itertools.pairwise(edges):
+        taken = [max(min(q, b - edge * q), 0) for q, b in zip(quota, blocks, strict=True)]
+        members = [i for i, m in enumerate(taken) if m]
+        slots = [x for s in edf_stretches([taken[i] for i in members], [taken[i] for i in members], 1 << 62) for x in _told(s)]
+        yield Stretch(start, following - edge, [(members[i], edge * quota[members[i]] + k, start + r, start + d) for i, k, r, d in slots])
+        start += (following - edge) * len(slots)
+
+
+def _told(s: Stretch) -> Iterator[tuple[int, int, int, int]]:
+    """The slots of a stretch with its repetitions."""
+    each = collections.Counter(i for i, *_ in s.slots)
+    for x in range(s.times):
+        for i, k, r, d in s.slots:
+            yield i, k + x * each[i], r + x * len(s.slots), d + x * len(s.slots)
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text", slots: int | None = None, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, block, round, release, deadline, block_position, position``.
 
     ``position`` counts from 0 without a gap and is the document's place in the mix; times
-    are slots (blocks) from the start. A null source is a source of its own. A source
-    without a stated weight has ``default_weight``; weights that are not positive count as
-    the least share. Null ids and rows that repeat an id are placed like all others, told
-    apart by their texts' hash; identical rows are interchangeable. An empty table gives an
-    empty one. Other columns are ignored, or carried along as the struct ``row`` if named
-    in ``keep``.
+    are slots (blocks) from the start; ``round`` counts the source's exact shares of a round.
+    A null source is a source of its own. A source without a stated weight has
+    ``default_weight``; sources whose weights are not positive follow when all others are
+    used up. There may be any number of sources, each with its weight. Null ids and rows
+    that repeat an id are placed like all others, told apart by their texts' hash; identical
+    rows are interchangeable. An empty table gives an empty one. Other columns are ignored,
+    or carried along as the struct ``row`` if named in ``keep``.
+
+    ``slots`` asks for rounds of that many slots with rounded quotas instead, at least one
+    for each source: the weights are then kept to that precision only.
     """
     by_text = F.xxhash64(F.col(text_col)) if text_col else F.lit(0).cast("long")
     row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("int")
@@ -93,29 +187,27 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, defaul
 
     stated = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("source")) if weights else F.lit(None)
     weight = F.greatest(F.coalesce(stated.cast("double"), F.lit(float(default_weight))), F.lit(0.0))
-    schedule, starts, short = _schedule(counts.groupBy("source").agg(F.sum("n").alias("rows")).withColumn("weight", weight), slots, block_rows)
+    members, ranges, timetable, n_slots = _schedule(counts.groupBy("source").agg(F.sum("n").alias("rows")).withColumn("weight", weight), slots, block_rows)
 
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = counts.select("source_key", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).join(members, "source_key")
+    # the stretches that a bucket's blocks are in: few, however many there are
+    touched = (F.col("first") * block_rows < F.col("offset") + F.col("n")) & (F.col("end") * block_rows > F.col("offset"))
+    offsets = offsets.join(ranges, "member").filter(touched).groupBy("source_key", "bucket", "offset", "member", "quota").agg(F.collect_list(F.struct("first", "end", "stretch", "each", "length")).alias("stretches"))
     nth = Window.partitionBy("source_key", "bucket").orderBy("shuffled", "doc_id", "text_hash")
     numbered = doc.withColumn("nth", F.row_number().over(nth) - 1).join(offsets, ["source_key", "bucket"]).withColumn("rank", F.col("offset") + F.col("nth"))
 
-    members = schedule.select(source_key().alias("source_key"), "member", "quota").distinct()
-    blocks = numbered.join(F.broadcast(members), "source_key").select("doc_id", "source", "row", "rank", "member", "quota")
-    blocks = _in_rounds(blocks.withColumn("block", F.floor(F.col("rank") / block_rows)), starts)
-    timed = blocks.join(F.broadcast(schedule.drop("source", "quota")), ["from_round", "member", "in_round"])
-    round_start = F.col("from_slot") + (F.col("round") - F.col("from_round")) * F.col("length")
-    timed = timed.withColumn("round_start", round_start).withColumn("block_position", F.col("round_start") + F.col("slot"))
-    # the last block of a source may be short: positions after it move up by what it lacks
-    missing = F.lit(0).cast("long")
-    if short:
-        missing = F.aggregate(F.filter(short_array(short), lambda x: x["at"] < F.col("block_position")), missing, lambda n, x: n + x["lacks"])
+    blocks = numbered.withColumn("block", F.floor(F.col("rank") / block_rows))
+    blocks = blocks.withColumn("of", F.filter("stretches", lambda x: (x["first"] <= F.col("block")) & (F.col("block") < x["end"]))[0])
+    within = F.col("block") - F.col("of.first")
+    blocks = blocks.select("doc_id", "source", "row", "rank", "block", "quota", "member", "of.stretch", F.floor(within / F.col("of.each")).alias("again"), (within % F.col("of.each")).alias("nth_block"), "of.length")
+    timed = blocks.join(F.broadcast(timetable) if n_slots <= BROADCAST_SLOTS else timetable, ["stretch", "member", "nth_block"]).withColumn("later", F.col("again") * F.col("length"))
     return timed.select(
-        "doc_id", "source", *(["row"] if keep else []), "block", "round",
-        (F.col("round_start") + F.col("release")).alias("release"),
-        (F.col("round_start") + F.col("deadline")).alias("deadline"),
-        "block_position",
-        (F.col("block_position") * block_rows + F.col("rank") % block_rows - missing).cast("long").alias("position"),
+        "doc_id", "source", *(["row"] if keep else []), "block", F.floor(F.col("block") / F.col("quota")).alias("round"),
+        (F.col("release") + F.col("later")).alias("release"),
+        (F.col("deadline") + F.col("later")).alias("deadline"),
+        (F.col("slot") + F.col("later")).alias("block_position"),
+        (F.col("first_row") + F.col("later") * block_rows + F.col("rank") % block_rows).cast("long").alias("position"),
     )
 
 
@@ -150,41 +242,66 @@ def written_order(docs: DataFrame) -> tuple[DataFrame, tuple[Column, Column]]:
     return docs, (stretch, F.col("_metadata.row_index"))
 
 
-def short_array(short: list[tuple[int, int]]) -> Column:
-    return F.array(*(F.struct(F.lit(at).cast("long").alias("at"), F.lit(lacks).cast("long").alias("lacks")) for at, lacks in short))
-
-
-def _in_rounds(blocks: DataFrame, starts: list[int]) -> DataFrame:
-    """``blocks(block, quota)`` with the round of each block, its number there and the round that its shape begins with."""
-    out = blocks.withColumn("round", F.floor(F.col("block") / F.col("quota"))).withColumn("in_round", F.col("block") % F.col("quota"))
-    return out.withColumn("from_round", F.array_max(F.filter(F.array(*(F.lit(s).cast("long") for s in starts)), lambda s: s <= F.col("round"))))
+def _schedule(of_source: DataFrame, slots: int | None, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """From ``of_source(source, rows, weight)``: members, their blocks in each stretch, the stretches' slots, and the number of these.
 
-
-def _schedule(of_source: DataFrame, slots: int, block_rows: int) -> tuple[DataFrame, list[int], list[tuple[int, int]]]:
-    """From ``of_source(source, rows, weight)``: each shape's slots, the rounds that shapes begin with, and the short blocks.
-
-    All three are bounded by the number of sources and the slots of a round.
+    The slots are those of a few rounds for each source that ends where the weights have a
+    short common round; in the worst case they are the blocks of the table, written as they
+    are dealt.
     """
-    everything = Window.partitionBy(F.lit(0))
-    n_sources = F.count("*").over(everything)
-    within = F.when(n_sources > MOST_SOURCES, F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))).otherwise(F.col("rows"))
-    shares = quotas(of_source.withColumn("rows", within.cast("long")), slots).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("long"))
-    shares = materialize(shares.withColumn("member", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())).cast("int") - 1), "mix-shares")
-
-    # rounds change their shape only where a source takes less than its quota for the first time, or nothing
-    all_members = shares.agg(F.array_sort(F.collect_list(F.struct("member", "quota", "blocks"))).alias("members"))
-    full, over = F.floor(F.col("x.blocks") / F.col("x.quota")), F.ceil(F.col("x.blocks") / F.col("x.quota"))
-    edges = all_members.select("members", F.explode("members").alias("x")).select("members", F.explode(F.array(F.lit(0).cast("long"), full.cast("long"), over.cast("long"))).alias("from_round")).distinct()
-    taken = F.transform("members", lambda m: F.greatest(F.least(m["quota"], m["blocks"] - F.col("from_round") * m["quota"]), F.lit(0).cast("long")))
-    taken_before = F.transform("members", lambda m: F.least(F.col("from_round") * m["quota"], m["blocks"]))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, m: n + m)
-    shapes = edges.select("from_round", taken.alias("taken"), total(taken_before).alias("from_slot")).withColumn("length", total("taken")).filter("length > 0")
-    entries = shapes.repartition(F.col("from_round")).select("from_round", "from_slot", "length", F.explode(edf_schedule(F.col("taken"))).alias("e"))
-    entries = entries.select("from_round", "from_slot", "length", "e.slot", "e.member", F.col("e.block").alias("in_round"), "e.release", "e.deadline")
-    schedule = materialize(entries.join(shares.select("member", "source", "quota"), "member"), "mix-schedule")
-    starts = sorted(r[0] for r in schedule.select("from_round").distinct().collect())
-
-    last = shares.withColumn("lacks", F.col("blocks") * block_rows - F.col("rows")).filter("lacks > 0").select("member", "quota", (F.col("blocks") - 1).alias("block"), "lacks")
-    at = F.col("from_slot") + (F.col("round") - F.col("from_round")) * F.col("length") + F.col("slot")
-    short = _in_rounds(last, starts).join(schedule.drop("source", "quota"), ["from_round", "member", "in_round"]).select(at.alias("at"), "lacks") if starts else last.select("block", "lacks")
-    return schedule, starts or [0], sorted((r[0], r[1]) for r in short.collect())
+    spark = of_source.sparkSession
+    if slots is not None:
+        of_source = quotas(of_source, slots)
+    shares = sorted(of_source.collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
+    if len(shares) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    blocks = [-(-r.rows // block_rows) for r in shares]
+    if slots is not None:
+        quota = [r.quota for r in shares]
+        stretches = by_quota(quota, blocks)
+    else:
+        weights = exact_weights([r.weight for r in shares])
+        common = math.gcd(*weights) or 1
+        quota = [max(w // common, 1) for w in weights]
+        stretches = by_weight(weights, blocks)
+
+    timetable, ranges = (_Table(spark, f"mix-{name}", columns) for name, columns in (("slots", ["stretch", "member", "nth_block", "slot", "release", "deadline", "first_row"]), ("ranges", ["stretch", "member", "first", "end", "each", "length"])))
+    lacking = 0
+    for at, s in enumerate(stretches):
+        first, each = {}, collections.Counter()
+        for slot, (i, k, release, deadline) in enumerate(s.slots, s.start):
+            first.setdefault(i, k)
+            timetable.add(at, i, each[i], slot, release, deadline, slot * block_rows - lacking)
+            each[i] += 1
+            # the last block of a source may be short: positions after it move up by what it lacks
+            if k == blocks[i] - 1:
+                lacking += blocks[i] * block_rows - shares[i].rows
+        for i, k in first.items():
+            ranges.add(at, i, k, k + each[i] * s.times, each[i], len(s.slots))
+    members = spark.createDataFrame(pa.table({"source_key": pa.array([""  if r.source is None else f"={r.source}" for r in shares], pa.string()), "member": pa.array(range(len(shares)), pa.int64()), "quota": pa.array(quota, pa.int64())}))
+    return materialize(members, "mix-members"), ranges.written(), timetable.written(), timetable.rows
+
+
+class _Table:
+    """A table of whole numbers that the driver writes in pieces, so that it never holds all of it."""
+
+    def __init__(self, spark: SparkSession, name: str, columns: list[str]):
+        self.spark, self.columns, self.path = spark, columns, new_path(spark, name)
+        self.pieces, self.rows = [array.array("q") for _ in columns], 0
+
+    def add(self, *values: int) -> None:
+        for piece, value in zip(self.pieces, values, strict=True):
+            piece.append(value)
+        self.rows += 1
+        if len(self.pieces[0]) >= PIECE_ROWS:
+            self._write()
+
+    def _write(self) -> None:
+        rows = pa.table({c: pa.array(p, pa.int64()) for c, p in zip(self.columns, self.pieces, strict=True)})
+        self.spark.createDataFrame(rows).write.mode("append").parquet(self.path)
+        self.pieces = [array.array("q") for _ in self.columns]
+
+    def written(self) -> DataFrame:
+        if self.pieces[0] or not self.rows:
+            self._write()
+        return self.spark.read.schema(", ".join(f"`{c}` long" for c in self.columns)).parquet(self.path)

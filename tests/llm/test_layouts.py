@@ -3,6 +3,7 @@ import gzip
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -104,6 +105,45 @@ def test_mix_follows_the_schedule(spark, weights, slots, block_rows, sources):
     assert all(r.release <= r.block_position < r.deadline for r in rows)
 
 
+@pytest.mark.parametrize(("weights", "default"), [({"s00": 4.0, "s01": 2.0, "s02": 2.0, "s03": 0.5}, 1.0), ({"s00": 0.37, "s01": 0.0, "s02": 1e-3}, 0.1), ({"s00": 1 / 3}, 0.7)])
+def test_mix_keeps_the_stated_weights(spark, weights, default):
+    """Until a source is used up each has received its share to within a block, over many rounds."""
+    docs = numbered(spark, 12_000, lambda k: f"s{k % 20:02d}")
+    rows = mixing.mix_sources(docs, weights, default, block_rows=1, bucket_rows=500).orderBy("position").collect()
+    assert [r.position for r in rows] == [*range(12_000)] and len({r.doc_id for r in rows}) == 12_000
+    w = {s: weights.get(s, default) for s in {r.source for r in rows}}
+    total, received, t = sum(w.values()), collections.Counter(), 0
+    while max(received.values(), default=0) < 600:
+        received[rows[t].source] += 1
+        t += 1
+        assert all(abs(received[s] - w[s] * t / total) < 1 + 1e-9 for s in w), t
+    assert t > 500 and all(r.release <= r.block_position < r.deadline for r in rows)
+    if "s01" in w and not w["s01"]:
+        assert {r.source for r in rows[-600:]} == {"s01"}
+
+
+def test_dealt_blocks_keep_to_the_fluid_schedule():
+    """Across the ends of sources too; rounds that are repeated are as if dealt."""
+    rng = random.Random(3)
+    for _ in range(30):
+        n = rng.randrange(1, 7)
+        weights, blocks = [rng.choice([1, 2, 3, 5, 8, 40]) for _ in range(n)], [rng.randrange(1, 200) for _ in range(n)]
+        received, fluid = [0] * n, [Fraction(0)] * n
+        for t, (i, k, release, deadline) in enumerate(x for s in mixing.by_weight(weights, blocks) for x in mixing._told(s)):
+            assert k == received[i] and release <= t < deadline
+            received[i] += 1
+            left = Fraction(1)
+            while left:
+                going = [j for j in range(n) if fluid[j] < blocks[j]]
+                total = sum(weights[j] for j in going)
+                step = min(left, *((blocks[j] - fluid[j]) * total / weights[j] for j in going))
+                left -= step
+                for j in going:
+                    fluid[j] += step * weights[j] / total
+            assert all(abs(a - b) < 1 for a, b in zip(received, fluid, strict=True))
+        assert received == blocks
+
+
 def test_mix_is_native_and_carries_rows(spark, odd, none):
     assert not re.search("Python|Pandas|Arrow", mixing.mix_sources(odd)._jdf.queryExecution().executedPlan().toString())
     assert mixing.mix_sources(none).count() == 0 and mixing.in_mix_order(none).count() == 0
