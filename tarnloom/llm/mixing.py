@@ -38,8 +38,6 @@ from .store import materialize, new_path
 BLOCK_ROWS = 8
 #: Rows that are numbered together.
 BUCKET_ROWS = 20_000
-#: Sources that one mix can have.
-MOST_SOURCES = 400
 #: Slots of a schedule that is broadcast; larger ones are joined as Spark sees fit.
 BROADCAST_SLOTS = 500_000
 #: Rows that the driver collects before it writes them.
@@ -253,8 +251,6 @@ def _schedule(of_source: DataFrame, slots: int | None, block_rows: int) -> tuple
     if slots is not None:
         of_source = quotas(of_source, slots)
     shares = sorted(of_source.collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
-    if len(shares) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     blocks = [-(-r.rows // block_rows) for r in shares]
     if slots is not None:
         quota = [r.quota for r in shares]

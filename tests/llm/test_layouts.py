@@ -122,6 +122,17 @@ def test_mix_keeps_the_stated_weights(spark, weights, default):
         assert {r.source for r in rows[-600:]} == {"s01"}
 
 
+def test_any_number_of_sources_keeps_its_weights(spark):
+    docs = numbered(spark, 4200, lambda k: "big" if k % 3 == 0 else f"s{k % 700}")
+    rows = mixing.mix_sources(docs, {"big": 350.0}, 0.5, block_rows=1, bucket_rows=500).orderBy("position").collect()
+    others = {r.source for r in rows} - {"big"}
+    assert len(others) > 600 and [r.position for r in rows] == [*range(4200)] and len({r.doc_id for r in rows}) == 4200
+    share, n = 350 / (350 + len(others) / 2), 0
+    for t, r in enumerate(rows[:1400], 1):
+        n += r.source == "big"
+        assert abs(n - share * t) < 1 + 1e-9
+
+
 def test_dealt_blocks_keep_to_the_fluid_schedule():
     """Across the ends of sources too; rounds that are repeated are as if dealt."""
     rng = random.Random(3)
