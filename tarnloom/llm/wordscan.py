@@ -11,10 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes that one pass holds at most (a longer single text is a pass of its own).
 PASS_BYTES = 1 << 20
+#: Bytes of text that are taken out of a batch at once (a longer single text alone).
+SLICE_BYTES = 4 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _STEP = 0x9E3779B97F4A7C15
@@ -37,7 +41,7 @@ def powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006  th
         known = np.full(size, base, dtype=np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)
-        if size <= 4 * PASS_BYTES:
+        if size <= 2 * PASS_BYTES:
             cache[base] = known
     return known[:n]
 
@@ -93,6 +97,22 @@ class Words:
         return b" ".join(self.raw[s:e].tobytes() for s, e in zip(self.starts[first : first + length], self.ends[first : first + length], strict=True))
 
 
+def stretches(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of about ``SLICE_BYTES`` of its text column ``at``, so that a worker's Python copies stay small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    nth = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    cuts = np.flatnonzero(nth[1:] != nth[:-1]) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if end > begin:
+            yield batch.slice(begin, end - begin)
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The stretches of a batch, each with its texts as bytes; a null is empty."""
+    for run in stretches(batch, at):
+        yield run, [b"" if x is None else x for x in run.column(at).cast(pa.large_binary()).to_pylist()]
+
+
 def passes(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a batch into runs of about ``PASS_BYTES``: position of the first text, texts."""
     begin, held = 0, 0
