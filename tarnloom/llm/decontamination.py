@@ -1,9 +1,11 @@
 """Benchmark decontamination: a broadcast set of test n-grams against every training window.
 
-The set holds one 64-bit hash per distinct window of the benchmark. Its size is checked:
-beyond ``WINDOWS_AT_ONCE`` windows the benchmark is cut into blocks, each within the
-bound, and the documents carry their hits from block to block. A window whose hash is in
-the set is compared word by word, so hash collisions cannot mark a clean document.
+The set holds a 64-bit hash of each window of the benchmark, and where the window's words
+are in one packed buffer of the items' words. Its size is checked: beyond
+``WINDOWS_AT_ONCE`` windows the benchmark is cut into blocks, each within the bound. Blocks
+are scanned one after the other, each scan's hits written before the next begins, so that
+no worker ever holds two. A window whose hash is in the set is compared word by word, so
+hash collisions cannot mark a clean document.
 """
 
 from __future__ import annotations
@@ -15,107 +17,123 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from .wordscan import ALPHANUMERIC, U64, Words, passes
+from .store import materialize
+from .wordscan import ALPHANUMERIC, U64, Words, passes, slices
 
 #: Words of a window; items with fewer words are one window of their own length.
 WINDOW_WORDS = 13
-#: Windows of the benchmark that are broadcast at once (each costs about 150 bytes).
-WINDOWS_AT_ONCE = 1_000_000
+#: Windows of the benchmark that are broadcast at once (each costs about 24 bytes and those of one word).
+WINDOWS_AT_ONCE = 2_000_000
 #: A document is contaminated when at least one word in this many is hit.
 WORDS_PER_HIT = 20
 _PRESENT_BITS = 20
-_HIT_DDL = "text string, n_words long, hits array<struct<begin:long,end:long>>, items array<string>"
+_FOUND = "n_words long, hits array<struct<begin:long,end:long>>, items array<string>"
+_HITS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+class Windows:
+    """The windows of one length: sorted hashes, and for each its item's number and where its words are in the buffer."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
+        hashes, item, begin, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item, self.begin, self.size = hashes[order], item[order], begin[order], size[order]
+        self.present = np.zeros(1 << _PRESENT_BITS, dtype=bool)
+        self.present[(self.hashes >> U64(64 - _PRESENT_BITS)).astype(np.int64)] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where in ``hashes`` one of these windows may be."""
+        at = np.flatnonzero(self.present[(hashes >> U64(64 - _PRESENT_BITS)).astype(np.int64)])
+        first = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        return at[self.hashes[first] == hashes[at]]
 
 
 class WindowSet:
-    """Windows of some benchmark items: hash to (exact words, item ids), by length."""
+    """The windows of some benchmark items, in flat arrays."""
 
     def __init__(self, length: int):
-        self.length = length
-        self.by_length: dict[int, dict[int, list[tuple[bytes, set]]]] = {}
+        self.length, self.n, self.items = length, 0, []
+        self.parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.pieces, self.filled = [], 0
 
-    def add(self, item_id, text: str | None) -> int:
+    def add(self, item_id, text: str | None) -> None:
         words = Words([(text or "").encode()], ALPHANUMERIC)
         n = len(words.hashes)
-        length = min(n, self.length)
         if not n:
-            return 0
-        table = self.by_length.setdefault(length, {})
-        for at, h in enumerate(words.windows(length).tolist()):
-            exact = words.word_bytes(at, length)
-            known = table.setdefault(h, [])
-            ids = next((ids for other, ids in known if other == exact), None)
-            if ids is None:
-                known.append((exact, ids := set()))
-            ids.add(item_id)
-        return n - length + 1
+            return
+        length = min(n, self.length)
+        ends = np.cumsum(words.ends - words.starts + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        n_windows = n - length + 1
+        self.parts.setdefault(length, []).append((
+            words.windows(length), np.full(n_windows, len(self.items), dtype=np.int32),
+            starts[:n_windows] + self.filled, (ends[length - 1 :] - starts[:n_windows]).astype(np.int32),
+        ))
+        self.items.append(None if item_id is None else str(item_id))
+        self.pieces.append(words.word_bytes(0, n))
+        self.filled += len(self.pieces[-1])
+        self.n += n_windows
 
     def frozen(self) -> WindowSet:
-        """With the arrays that scanning uses."""
-        self.present, self.sorted = {}, {}
-        for length, table in self.by_length.items():
-            hashes = np.array(sorted(table), dtype=np.uint64)
-            present = np.zeros(1 << _PRESENT_BITS, dtype=bool)
-            present[(hashes >> U64(64 - _PRESENT_BITS)).astype(np.int64)] = True
-            self.present[length], self.sorted[length] = present, hashes
+        """Ready to be scanned for."""
+        self.by_length = {length: Windows(parts) for length, parts in self.parts.items()}
+        self.buffer = b"".join(self.pieces)
+        self.parts, self.pieces = {}, []
         return self
 
-
-def window_sets(benchmark: DataFrame, item_col: str, text_col: str, length: int, at_once: int) -> Iterator[WindowSet]:
-    """The benchmark as window sets of at most about ``at_once`` windows each, read row by row."""
-    held, n = WindowSet(length), 0
-    for row in benchmark.select(item_col, text_col).toLocalIterator(prefetchPartitions=False):
-        n += held.add(row[0], row[1])
-        if n >= at_once:
-            yield held.frozen()
-            held, n = WindowSet(length), 0
-    if n:
-        yield held.frozen()
-
-
-def _scan(sets_value, first: bool):
-    def hits(words: Words, windows: WindowSet) -> dict[int, list[tuple[int, int, set]]]:
-        """By text: (first word, words, item ids) of each verified window."""
-        found: dict[int, list[tuple[int, int, set]]] = {}
-        for length, present in windows.present.items():
+    def hits(self, words: Words) -> dict[int, list[tuple[int, int, set[int]]]]:
+        """By text: (first word, words, items) of each verified window."""
+        found: dict[int, list[tuple[int, int, set[int]]]] = {}
+        for length, windows in self.by_length.items():
             hashes = words.windows(length)
-            at = np.flatnonzero(present[(hashes >> U64(64 - _PRESENT_BITS)).astype(np.int64)])
-            if not len(at):
-                continue
-            at = at[np.isin(hashes[at], windows.sorted[length])]
+            at = windows.places(hashes)
             text = np.searchsorted(words.first, at, side="right") - 1
-            for k, d in zip(at.tolist(), text.tolist(), strict=True):
-                if k + length > words.first[d + 1]:
-                    continue
+            inside = at + length <= words.first[text + 1]
+            at, text = at[inside], text[inside]
+            low, high = (np.searchsorted(windows.hashes, hashes[at], side=side) for side in ("left", "right"))
+            for k, d, a, b in zip(at.tolist(), text.tolist(), low.tolist(), high.tolist(), strict=True):
                 exact = words.word_bytes(k, length)
-                for other, ids in windows.by_length[length][int(hashes[k])]:
-                    if other == exact:
-                        found.setdefault(d, []).append((k - int(words.first[d]), length, ids))
+                begins, sizes = windows.begin[a:b].tolist(), windows.size[a:b].tolist()
+                items = {i for i, s, n in zip(windows.item[a:b].tolist(), begins, sizes, strict=True) if self.buffer[s : s + n] == exact}
+                if items:
+                    found.setdefault(d, []).append((k - int(words.first[d]), length, items))
         return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = sets_value.value
-        for batch in batches:
-            texts = [b"" if x is None else x for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            before = [([], set())] * len(texts) if first else [(a or [], set(b or [])) for a, b in zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)]
-            n_words, all_hits, all_items = [], [], []
-            for begin, run_texts in passes(texts):
-                words = Words(run_texts, ALPHANUMERIC)
-                found = hits(words, windows)
-                n_words.extend(np.diff(words.first).tolist())
-                for d in range(len(run_texts)):
-                    old, items = before[begin + d]
-                    spans = [*((s, s + n) for s, n, _ in found.get(d, ())), *((x["begin"], x["end"]) for x in old)]
-                    all_items.append(sorted(items.union(*({str(i) for i in ids if i is not None} for _, _, ids in found.get(d, ())))))
-                    all_hits.append([{"begin": s, "end": e} for s, e in merged(spans)])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "text")), pa.array(n_words, pa.int64()), pa.array(all_hits, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(all_items, pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "hits", "items"],
-            )
-
-    return run
+
+def window_sets(benchmark: DataFrame, item_col: str, text_col: str, length: int, at_once: int) -> Iterator[WindowSet]:
+    """The benchmark as window sets of at most ``at_once`` windows each, and those of one more item, read row by row; one at least."""
+    held = WindowSet(length)
+    for row in benchmark.select(item_col, text_col).toLocalIterator(prefetchPartitions=False):
+        if held.n >= at_once:
+            yield held.frozen()
+            held = WindowSet(length)
+        held.add(row[0], row[1])
+    yield held.frozen()
+
+
+def _scan(shared):
+    """A column function of the texts and, but for the first block, of what the blocks before have found."""
+
+    @F.arrow_udf(_FOUND)
+    def scan(texts: pa.Array, *before: pa.Array) -> pa.Array:
+        windows = shared.value
+        n_words, all_hits, all_items = [], [], []
+        for batch, run in slices(pa.RecordBatch.from_arrays([texts, *before], ["text", "hits", "items"][: 1 + len(before)]), 0):
+            known = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True) if before else (([], []) for _ in run)
+            for _, part in passes(run):
+                words = Words(part, ALPHANUMERIC)
+                found = windows.hits(words)
+                n_words.append(np.diff(words.first))
+                for d in range(len(part)):
+                    old, items = next(known)
+                    own = found.get(d, ())
+                    named = {windows.items[i] for _, _, of in own for i in of} - {None}
+                    all_items.append(sorted(named.union(items)))
+                    all_hits.append([{"begin": s, "end": e} for s, e in merged([*((s, s + n) for s, n, _ in own), *((x["begin"], x["end"]) for x in old)])])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([*n_words, np.empty(0)]).astype(np.int64)), pa.array(all_hits, _HITS), pa.array(all_items, pa.list_(pa.string()))], names=["n_words", "hits", "items"])
+
+    return scan.asNondeterministic()  # so that a filter on its result is not moved below it, with a scan of its own
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -141,13 +159,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark: SparkSession = docs.sparkSession
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = StructType([StructField("doc_id", out.schema["doc_id"].dataType), *StructType.fromDDL(_HIT_DDL).fields])
-    first = True
+    before, last = [], None
     for windows in window_sets(benchmark, item_col, item_text_col, length, at_once):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(windows), first), schema)
-        first = False
-    if first:
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(length).frozen()), first), schema)
+        if last is not None:
+            out = materialize(out, "hits")
+            last.unpersist()
+            before = [F.col("hits"), F.col("items")]
+        last = spark.sparkContext.broadcast(windows)
+        out = out.select("doc_id", "text", _scan(last)("text", *before).alias("found")).select("doc_id", "text", "found.*")
     return out
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .wordscan import SPACE_SEPARATED, U64, Words, mix, passes
+from .wordscan import SPACE_SEPARATED, U64, Words, mix, passes, slices
 
 #: Random features; the normal equations have FEATURES + 1 rows.
 FEATURES = 192
@@ -83,9 +83,10 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 def _statistics_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = statistics([b"" if x is None else x for x in batch.column(1).cast(pa.large_binary()).to_pylist()])
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1), pa.float32()), len(NAMES)).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "stats"])
+        for run, texts in slices(batch, 1):
+            rows = statistics(texts)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1), pa.float32()), len(NAMES)).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([run.column(0), flat], ["doc_id", "stats"])
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +121,7 @@ class Model:
         return self.expanded(stats, self.mean, self.scale) @ self.weights
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        """Calibrated, with a slope too slight to cross a decision that keeps the ridge order inside a flat step."""
+        """Calibrated, with a slight slope that keeps the ridge order inside a flat step; a step at the threshold itself is so split by that order."""
         raw = self.raw(stats)
         step = np.interp(raw, self.knots, self.values)
         return np.clip(np.round(step * (1 - 1e-6) + 1e-6 / (1 + np.exp(-np.clip(raw, -30, 30))), 12), 0.0, 1.0)
@@ -204,9 +205,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     every score is 0.5. Other columns are ignored.
     """
     stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().filter("label in (0, 1)")
-    known = known.withColumn("fold", fold()).filter("fold <> 2")
-    model = fit(materialize(stats.join(known, "doc_id").select("stats", "label", "fold"), "labelled"))
+    model = _fitted(stats, labels, label_id_col, label_col)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,19 +215,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return out.select("doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without what the classifier rejects. Scores are made where the rows are, so no text is shuffled."""
-    stats = document_statistics(docs, id_col, text_col)
-    known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("label")).dropna().filter("label in (0, 1)")
+def _fitted(stats: DataFrame, labels: DataFrame, label_id_col: str, label_col: str) -> Model:
+    known = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().filter("label in (0, 1)")
     known = known.withColumn("fold", fold()).filter("fold <> 2")
-    model = fit(materialize(stats.join(known, "doc_id").select("stats", "label", "fold"), "labelled"))
+    return fit(materialize(stats.join(known, "doc_id").select("stats", "label", "fold"), "labelled"))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b"" if x is None else x for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            scores = model.score(statistics(texts)) if texts else np.empty(0)
-            yield batch.filter(pa.array(scores >= threshold))
 
-    # the row is one column, whatever its columns are called
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return whole.mapInArrow(keep, whole.schema).select("row.*")
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without what the classifier rejects. Scores are made where the rows are, so no text is shuffled, and nothing but texts goes to Python."""
+    model = _fitted(document_statistics(docs, id_col, text_col), labels, label_id_col, label_col)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [model.score(statistics(run)) for _, run in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0)]
+        return pa.array(np.concatenate([*parts, np.empty(0)]))
+
+    return docs.filter(score(F.col(text_col).cast("string")) >= threshold)

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 import string
@@ -102,6 +103,16 @@ def test_contamination(spark, odd, none):
     assert dc.contamination(none, bench).count() == 0 and dc.contamination(df, bench.limit(0)).filter(dc.n_hit() > 0).count() == 0
 
 
+def test_bytes_of_a_window():
+    """The bound of a broadcast block, in bytes."""
+    rng = random.Random(4)
+    held = dc.WindowSet(dc.WINDOW_WORDS)
+    for k in range(200):
+        held.add(k, " ".join(f"word{rng.randrange(10**5)}" for _ in range(1000)))
+    block = pickle.dumps(held.frozen())
+    assert held.n == 200 * 988 and len(block) - (1 << dc._PRESENT_BITS) < 40 * held.n
+
+
 def test_feistel_permutes_and_comes_back():
     f = ps.Feistel(b"key")
     for size in (1, 2, 3, 10, 97, 1000):
