@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordscan import stretches
+
 ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
@@ -254,7 +256,7 @@ def pseudonymised(text: str, f: Feistel, back: bool = False) -> tuple[str, list[
 def _replace(key: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
-        for batch in batches:
+        for batch in (x for whole in batches for x in stretches(whole, 1)):
             texts, spans = [], []
             for text in batch.column(1).to_pylist():
                 new, found = (text, []) if not text else pseudonymised(text, f, back)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordscan import SPACE_SEPARATED, Words, passes
+from .wordscan import SPACE_SEPARATED, Words, passes, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Chunks whose counts a task remembers (about 100 bytes each).
@@ -107,22 +107,22 @@ def _counts(automaton):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, known = automaton.value.count, {}
         for batch in batches:
-            texts = [b"" if x is None else x for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            totals = np.zeros(len(texts), dtype=np.int64)
-            for begin, texts_of in passes(texts):
-                words, starts, ends, text_of = chunks(texts_of)
-                distinct, first, which = np.unique(words.span_hashes(starts, ends), return_index=True, return_inverse=True)
-                each = np.empty(len(distinct), dtype=np.int64)
-                raw = words.raw.tobytes()
-                for k, (h, s, e) in enumerate(zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)):
-                    n = known.get(h)
-                    if n is None:
-                        n = known[h] = count(raw[s:e])
-                    each[k] = n
-                if len(known) > REMEMBERED:
-                    known.clear()
-                totals[begin : begin + len(texts_of)] = np.bincount(text_of, weights=each[which], minlength=len(texts_of))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals)], ["doc_id", "n_tokens"])
+            for rows, texts in slices(batch, 1):
+                totals = np.zeros(len(texts), dtype=np.int64)
+                for begin, texts_of in passes(texts):
+                    words, starts, ends, text_of = chunks(texts_of)
+                    distinct, first, which = np.unique(words.span_hashes(starts, ends), return_index=True, return_inverse=True)
+                    each = np.empty(len(distinct), dtype=np.int64)
+                    raw = words.raw.tobytes()
+                    for k, (h, s, e) in enumerate(zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)):
+                        n = known.get(h)
+                        if n is None:
+                            n = known[h] = count(raw[s:e])
+                        each[k] = n
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    totals[begin : begin + len(texts_of)] = np.bincount(text_of, weights=each[which], minlength=len(texts_of))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(totals)], ["doc_id", "n_tokens"])
 
     return run
 
