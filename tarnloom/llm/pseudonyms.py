@@ -80,6 +80,23 @@ def _digits(f: Feistel, s: str, kind: bytes, back: bool, keep: int = 0) -> str:
     return _refilled(s, d[:keep] + str(f.permuted(int(body), 10 ** len(body), b"%b%d%b" % (kind, len(d), d[:keep].encode()), back)).zfill(len(body)))
 
 
+def _in_classes(f: Feistel, s: str, tweak: bytes, back: bool) -> str:
+    """Lower-case letters, capitals and digits of ``s`` permuted as one number, each within its class; the rest stays."""
+    bases = [(ord("a"), 26) if "a" <= c <= "z" else (ord("A"), 26) if "A" <= c <= "Z" else (ord("0"), 10) if "0" <= c <= "9" else None for c in s]
+    value, size = 0, 1
+    for c, b in zip(s, bases, strict=True):
+        if b:
+            value, size = value * b[1] + ord(c) - b[0], size * b[1]
+    value = f.permuted(value, size, tweak, back)
+    out = []
+    for c, b in zip(reversed(s), reversed(bases), strict=True):
+        if b:
+            value, d = divmod(value, b[1])
+            c = chr(b[0] + d)
+        out.append(c)
+    return "".join(reversed(out))
+
+
 def _card(f: Feistel, s: str, back: bool) -> str | None:
     d = _only_digits(s)
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1]:
@@ -101,14 +118,14 @@ def _account(f: Feistel, s: str, back: bool) -> str | None:
 
 
 def _iban(f: Feistel, s: str, back: bool) -> str | None:
+    """Letters and digits of the account part, within their classes; check digits are made anew, and only those that can be made (02 to 98) are valid."""
     plain = s.replace(" ", "").upper()
     as_number = lambda x: int("".join(str(int(c, 36)) for c in x))
-    if not 15 <= len(plain) <= 34 or as_number(plain[4:] + plain[:4]) % 97 != 1:
+    if not 15 <= len(plain) <= 34 or not 2 <= int(plain[2:4]) <= 98 or as_number(plain[4:] + plain[:4]) % 97 != 1:
         return None
-    body = _digits(f, plain[4:], b"iban" + plain[:2].encode(), back)
+    body = _in_classes(f, plain[4:], b"iban" + plain[:2].encode(), back)
     check = 98 - as_number(body + plain[:2] + "00") % 97
-    new = plain[:2] + f"{check:02d}" + body
-    it = iter(new)
+    it = iter(plain[:2] + f"{check:02d}" + body)
     return "".join(c if c == " " else next(it) for c in s)
 
 
@@ -157,19 +174,7 @@ def _date(order: str) -> Callable[[Feistel, str, bool], str | None]:
 def _email(f: Feistel, s: str, back: bool) -> str | None:
     """Letters and digits of the local part, within their classes; the domain stays, and is part of the key."""
     local, _, domain = s.partition("@")
-    bases = [(ord("a"), 26) if "a" <= c <= "z" else (ord("A"), 26) if "A" <= c <= "Z" else (ord("0"), 10) if "0" <= c <= "9" else None for c in local]
-    value, size = 0, 1
-    for c, b in zip(local, bases, strict=True):
-        if b:
-            value, size = value * b[1] + ord(c) - b[0], size * b[1]
-    value = f.permuted(value, size, b"email" + domain.lower().encode(), back)
-    out = []
-    for c, b in zip(reversed(local), reversed(bases), strict=True):
-        if b:
-            value, d = divmod(value, b[1])
-            c = chr(b[0] + d)
-        out.append(c)
-    return "".join(reversed(out)) + "@" + domain
+    return _in_classes(f, local, b"email" + domain.lower().encode(), back) + "@" + domain
 
 
 # Kind, pattern. An earlier kind wins where two begin at one place.
@@ -247,9 +252,7 @@ def pseudonymised(text: str, f: Feistel, back: bool = False) -> tuple[str, list[
             found.append((kind, m.start(), end))
             at = begin = end
         else:
-            # not a value: go on behind the digits or letters that it began with
-            begin = re.compile("[0-9A-Za-z]*").match(text, m.start()).end()
-            begin = max(begin, m.start() + 1)
+            begin = m.start() + 1
     return "".join([*out, text[at:]]), found
 
 
@@ -273,8 +276,9 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """One row per row of ``docs``: ``doc_id, text, spans``; ``back`` undoes it with the same key.
 
     ``spans`` are ``struct<kind, start, end>`` in code points of the text as given. Values
-    that fail their check (Luhn, modulo 97, calendar, octets) are not of that kind. A null
-    text stays null, an empty one empty. Ids may be null or repeated. Other columns are
+    that fail their check (Luhn, modulo 97, calendar, octets) are not of that kind. Values
+    that run into each other without a separator may be cut otherwise once they have changed,
+    and then do not come back; all others do. A null text stays null, an empty one empty. Ids may be null or repeated. Other columns are
     ignored.
     """
     doc = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
