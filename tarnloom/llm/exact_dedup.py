@@ -15,6 +15,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: ASCII white space, which the normalised text is without.
 BLANKS = "[\\x20\\x09-\\x0D]"
@@ -29,16 +30,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when they are identical without ASCII white space; null counts as
     empty. Of equal texts the one with the most code points as written stays, then the
-    smallest id. Rows that repeat the keeper's id are all marked as kept. A null id sorts
-    after every other, and its row is kept only where its group has no id at all. Other
-    columns are ignored. ``content_hash`` exists for tests of collisions.
+    smallest id; ids may be of any type that Spark orders. Rows that repeat the keeper's id
+    are all marked as kept. Of texts of one length a null id sorts last; if the row that stays
+    has none, keep_id is null, and all the group's rows without an id are marked. Other columns are ignored. ``content_hash`` exists for tests
+    of collisions.
     """
     norm = normalised(F.col(text_col))
     doc = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("points"), norm.alias("norm"))
-    # most code points first, then the smallest id, as one number: a fixed-width aggregation buffer
-    first = F.col("points").cast("decimal(10,0)") * F.lit(Decimal(10**20)) - F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(2**63)))
-    hashed = doc.withColumn("hash", content_hash(F.col("norm"))).withColumn("first", first.cast("decimal(32,0)"))
-    groups = hashed.groupBy("hash", "norm").agg(F.count("*").alias("group_size"), F.max_by("doc_id", "first").alias("keep_id")).filter("group_size > 1")
+    if isinstance(doc.schema["doc_id"].dataType, IntegralType):
+        # most code points first, then the smallest id, as one number: a fixed-width aggregation buffer
+        first = (F.col("points").cast("decimal(10,0)") * F.lit(Decimal(10**20)) - F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(2**63)))).cast("decimal(32,0)")
+        keep_id = F.max_by("doc_id", "first")
+    else:
+        first = F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+        keep_id = F.min_by("doc_id", "first")
+    hashed = doc.withColumn("hash", content_hash(F.col("norm"))).withColumn("first", first)
+    groups = hashed.groupBy("hash", "norm").agg(F.count("*").alias("group_size"), keep_id.alias("keep_id")).filter("group_size > 1")
     groups = groups.select("hash", F.sha2("norm", 256).alias("text_sha256"), "group_size", "keep_id", F.lit(True).alias("grouped"))
     narrow = hashed.select("doc_id", "hash", F.sha2("norm", 256).alias("text_sha256"))
     joined = narrow.join(groups, ["hash", "text_sha256"], "left")

@@ -89,7 +89,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Shards hold equally many rows, to one row; slots count from 0 in each without a gap.
     Size is the text's UTF-8 bytes plus 16, and the CRC that of those bytes; a null text has
-    none. A null id has a cell like any other; rows that repeat an id are told apart by
+    none. The cell of a row without an id is a hash of its text; rows that repeat an id are told apart by
     their texts' CRC and size, and identical ones are interchangeable. An empty table gives
     an empty one. Other columns are ignored, or carried along as the struct ``row`` if
     named in ``keep``.
@@ -99,7 +99,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cell's documents the last ones overflow.
     """
     spark = docs.sparkSession
-    cell = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 64 - ring_bits).cast("int")
+    cell = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(""))), 64 - ring_bits).cast("int")
     counts = np.zeros(1 << ring_bits, dtype=np.int64)
     for at, n in docs.select(cell.alias("cell")).groupBy("cell").count().collect():
         counts[at] = n

@@ -2,8 +2,10 @@
 
 Writing: one gzip member per record. Spark's own text writer lays the members down, parted
 by an empty gzip member, which any reader decompresses to nothing; so archives go to
-whatever store Spark writes to, with its commit protocol. Equal payloads are stored once:
-digests are compared on a narrow table, and only those that occur twice are joined back.
+whatever store Spark writes to, with its commit protocol. A file ends after a bounded
+number of records and of bytes (a larger record is a file of its own). Equal payloads are
+stored once: SHA-256 digests are compared on a narrow table, and only those that occur
+twice are joined back. The SHA-1 that a record states decides nothing.
 
 Reading: files are cut at member boundaries; a record counts if its member is whole and
 its version line, lengths and digest are right. After a failed check the reader searches
@@ -25,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records of one archive file, and so, times their size, what one reading task holds.
+from .wordscan import stretches
+
+#: Records of one archive file, and its bytes but for the last record's: what a reading task holds.
 RECORDS_PER_FILE = 2_000
+FILE_BYTES = 32 << 20
 #: Duplicate digests (60 bytes each) up to which they are broadcast instead of joined by a shuffle.
 MOST_BROADCAST = 200_000
 MEMBER = b"\x1f\x8b\x08"
@@ -66,29 +71,43 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [gzip_member(record_bytes(page_id, url, html or b"", keep, revisit)) for page_id, url, html, keep, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+def _members(file_bytes: int):
+    """Members, and the number of the file that each goes to among those of its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll = filled = 0
+        for batch in (x for whole in batches for x in stretches(whole, 2)):
+            out, rolls = [], []
+            for page_id, url, html, keep, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                member = gzip_member(record_bytes(page_id, url, html or b"", keep, revisit))
+                if filled and filled + len(member) > file_bytes:
+                    roll, filled = roll + 1, 0
+                filled += len(member)
+                out.append(member)
+                rolls.append(roll)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(rolls, pa.int32())], ["member", "roll"])
+
+    return run
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Write a record for every row of ``pages`` below ``path``.
 
     Of equal payloads of at least ``least_bytes`` bytes the row with the smallest id is the
     response, the others revisit it; smaller ones are all responses. A null payload is
     empty. Rows that repeat the smallest id are responses too. A null id sorts last: it is
-    the response only where no equal payload has an id. Other columns are ignored.
+    the response only where no equal payload has an id. Ids must be numbers that fit a long.
+    Payloads may be as long as a row can be. Other columns are ignored.
     """
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("html"))
-    page = page.withColumn("digest", F.sha1("html")).withColumn("n_bytes", F.octet_length("html"))
+    page = page.withColumn("digest", F.sha2("html", 256)).withColumn("n_bytes", F.octet_length("html"))
     copies = page.filter(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes").agg(F.count("*").alias("n"), F.min("page_id").alias("keep_id")).filter("n > 1 and keep_id is not null").drop("n")
     n_copies = copies.count()
     joined = page.join(F.broadcast(copies) if n_copies <= MOST_BROADCAST else copies, ["digest", "n_bytes"], "left")
     is_revisit = F.col("keep_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep_id"))
-    members = joined.select("page_id", "url", "html", F.col("keep_id"), is_revisit.alias("revisit")).mapInArrow(_members, "member binary")
-    as_text = members.select(F.col("member").cast("string").alias("value"))
-    as_text.write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+    members = joined.select("page_id", "url", "html", F.col("keep_id"), is_revisit.alias("revisit")).mapInArrow(_members(file_bytes), "member binary, roll int")
+    as_text = members.select(F.col("member").cast("string").alias("value"), "roll")
+    as_text.write.partitionBy("roll").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 @dataclass

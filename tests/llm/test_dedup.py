@@ -1,7 +1,9 @@
 import collections
+import datetime
 import hashlib
 import random
 import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,16 @@ def test_exact_on_odd_rows(spark, odd, none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(38,2)", "date", "double", "struct<a:string>"])
+def test_ids_of_any_type(spark, kind):
+    ids = {"string": ["b", "a", "10", "9", "é"], "struct<a:string>": [("b",), ("a",), ("10",), ("9",), ("é",)], "date": [datetime.date(2020, 1, d) for d in (5, 3, 4, 2, 1)]}.get(kind) or [Decimal(x) if "decimal" in kind else float(x) for x in (7, 3, 5, 4, 1)]
+    docs = spark.createDataFrame([(ids[0], "x y"), (ids[1], "xy"), (ids[2], "x y"), (None, "x y"), (None, "z  "), (ids[3], "z"), (ids[4], None), (None, "")], f"doc_id {kind}, text string")
+    plain = lambda x: tuple(x) if isinstance(x, tuple) else x
+    got = [(plain(r.doc_id), plain(r.keep_id), r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()]
+    first = min(ids[0], ids[2])
+    assert sorted(got, key=repr) == sorted([(ids[0], first, 3 + 1, ids[0] == first), (ids[1], first, 4, False), (ids[2], first, 4, ids[2] == first), (None, first, 4, False), (None, None, 2, True), (ids[3], None, 2, False), (ids[4], ids[4], 2, True), (None, ids[4], 2, False)], key=repr)
+
+
 def test_hash_collisions_are_told_apart(spark):
     rows = [(k, f"{'ab'[k % 2]} {k // 4}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

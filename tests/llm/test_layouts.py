@@ -180,6 +180,34 @@ def test_normal_equations_do_not_depend_on_partitions(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in one)
 
 
+def test_scores_equal_a_direct_ridge(spark, sf):
+    """The same features of all labelled rows at once, least squares by another solver, and isotonic means by their max-min formula."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").collect(), {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    stats = quality.statistics([(r.text or "").encode() for r in docs])
+    fold = np.array([zlib.crc32(str(r.doc_id).encode()) % 4 for r in docs])
+    y = np.array([labels.get(r.doc_id, -1) for r in docs])
+    train, check = (y >= 0) & (fold <= 1), (y >= 0) & (fold == 3)
+    mean, std = stats[train].astype(float).mean(axis=0), np.maximum(stats[train].astype(float).std(axis=0), 1e-6)
+    rng = np.random.Generator(np.random.PCG64(quality.SEED))
+    w, b = rng.normal(size=(stats.shape[1], quality.FEATURES)) / quality.KERNEL_WIDTH, rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.array([[*(np.sqrt(2 / quality.FEATURES) * np.cos(x @ w + b)), 1.0] for x in np.clip((stats - mean) / std, -8, 8)])
+    n = int(train.sum())
+    penalty = np.sqrt(np.diag([quality.RIDGE * n + 1e-9] * quality.FEATURES + [1e-9]))
+    weights = np.linalg.lstsq(np.vstack([z[train], penalty]), np.concatenate([y[train], np.zeros(quality.FEATURES + 1)]), rcond=None)[0]
+    raw = z @ weights
+    bins = np.clip(np.round(raw[check] * quality.BINS / 2), -quality.BINS, quality.BINS) * 2 / quality.BINS
+    at = np.unique(bins)
+    count, positive = np.array([(bins == x).sum() for x in at]), np.array([y[check][bins == x].sum() for x in at])
+    share = lambda i, j: positive[i : j + 1].sum() / count[i : j + 1].sum()
+    level = [max(min(share(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    knots = [(np.average(at[sel], weights=count[sel]), v) for v in np.unique(level) for sel in [np.array(level) == v]]
+    step = np.interp(raw, *zip(*knots, strict=True))
+    expected = step * (1 - 1e-6) + 1e-6 / (1 + np.exp(-raw))
+    got = {r.doc_id: r.score for r in quality.score_documents(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    off = [abs(got[r.doc_id] - e) for r, e in zip(docs, expected, strict=True)]
+    assert sorted(off)[int(0.98 * len(off))] < 1e-6 and max(off) < 0.05  # a row at a bin's edge may fall on either side
+
+
 def test_held_out_accuracy_and_no_leak(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -217,13 +245,25 @@ def test_warc_round_trip(spark, tmp_path):
     least = f"file://{tmp_path}/least"
     warc.write_warc(pages(spark, rows), least, least_bytes=10)
     assert {r.record_type for r in warc.read_warc(spark, least).filter("payload_bytes < 10").collect()} == {"response"}
-    for f in (tmp_path / "w").glob("part-*"):
+    for f in (tmp_path / "w").rglob("part-*"):
         assert b"WARC/1.1" in gzip.decompress(f.read_bytes())
     empty = f"file://{tmp_path}/empty"
     warc.write_warc(pages(spark, []), empty)
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_files_are_cut_by_bytes(spark, tmp_path):
+    """Payloads larger than a file and than a batch; rows of one task."""
+    rng = random.Random(2)
+    rows = [(k, "u", "%x" % rng.getrandbits(4 * n), "z") for k, n in enumerate([900_000, 10, 400_000, 400_000, 400_000, 20, 2_000_000, 30])]
+    path = f"file://{tmp_path}/w"
+    docs = pages(spark, rows).coalesce(1).unionAll(spark.range(1).selectExpr("99L", "'v'", "repeat('long', 20000000)", "'z'").coalesce(1))
+    warc.write_warc(docs, path, file_bytes=500_000)
+    assert max(f.stat().st_size for f in (tmp_path / "w").rglob("part-*")) < 1_200_000 and len(list((tmp_path / "w").rglob("part-*"))) >= 5
+    got = {r.page_id: (r.n, r.payload_digest) for r in warc.read_warc(spark, path).select("page_id", F.length("payload").alias("n"), "payload_digest").collect()}
+    assert got == {i: (len(h), warc.base32_sha1(h.encode())) for i, _, h, _ in rows} | {99: (80_000_000, warc.base32_sha1(b"long" * 20_000_000))}
+
+
 def test_salvage():
     records = [warc.record_bytes(k, f"u{k}", b"payload %d " % k * 50, None, False) for k in range(6)]
     members = [warc.gzip_member(r) for r in records]
