@@ -1,13 +1,15 @@
 """The pipeline against each stage done plainly, and the registered queries against their SQL."""
 
+import functools
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tarnloom.llm import mixing, queries
+from tarnloom.llm import mixing, quality, queries
 
 from .test_dedup import near_brute
 from .test_scans import contamination_brute
@@ -51,8 +53,38 @@ def test_stages(spark, sf):
 
 
 def test_run(spark, sf):
-    out = corpus_pipeline.run(spark, sf)
-    assert 0 < out.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
+    """The stages one after the other, and slots in the order of the mix."""
+    rows = corpus_pipeline.run(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-2]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+    place = {r.doc_id: r.position for r in mixing.mix_sources(docs, queries.MIX_WEIGHTS).collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(place)
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.shard, r.slot)):
+        by.setdefault(r.shard, []).append((r.slot, place[r.doc_id]))
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all([s for s, _ in x] == [*range(len(x))] and [p for _, p in x] == sorted(p for _, p in x) for x in by.values())
+
+
+def test_odd_rows_through_all_stages(spark, odd, none, sf, monkeypatch):
+    """Nulls, repeated rows and ids, long texts, clashing names and an empty table; what the classifier would reject stays here."""
+    monkeypatch.setattr(corpus_pipeline.quality, "accepted", functools.partial(quality.accepted, threshold=0.0))
+    docs = odd.withColumns({"lang": F.lit("en"), "n_chars": F.lit(1).cast("long")})
+    for table in (docs, docs.limit(0), docs.unionAll(docs)):
+        out, seen = table, []
+        for name, stage in corpus_pipeline.STAGES:
+            columns, out = out.columns, stage(spark, out, sf)
+            out = spark.createDataFrame(out.collect(), out.schema)
+            seen.append(out.count())
+            assert out.columns == (columns if name != "sharding" else [*columns, "size", "text_crc32", "shard", "slot"])
+        if not seen[0]:
+            assert seen == [0] * 5
+            continue
+        # one of each group of texts, each unrelated text of an id, and all rows without an id
+        ids = sorted(str(r.doc_id) for r in out.collect())
+        assert ids == sorted(["1", "1", "2", "3", "4", "6", "7", *["None"] * (2 if table is docs else 4)]), ids
+        assert seen[1:] == [len(ids)] * 4
 
 
 def test_the_mix_reaches_the_shards(spark, monkeypatch, tmp_path):
