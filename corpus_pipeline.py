@@ -32,8 +32,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot; slots of a shard follow the order that ``docs`` was written in, the mix."""
-    columns = docs.columns
+    """All documents with their shard and slot; slots of a shard follow the order that ``docs`` was written in, the mix.
+
+    Columns of ``docs`` that are called like those that are added give way to them.
+    """
+    columns = [c for c in docs.columns if c.lower() not in ("size", "text_crc32", "shard", "slot")]
     docs, order = mixing.written_order(docs)
     placed = sharding.shard_documents(docs, keep=columns, order=order)
     return placed.select("row.*", "size", "text_crc32", "shard", "slot")
