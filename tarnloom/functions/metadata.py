@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
 from .text import strip
 
 EXTRACTOR_VERSION = "extractive-v2"
@@ -73,48 +74,59 @@ def can_detect_language(text: Column) -> Column:
 
 
 _MONTH = "(" + "|".join(sorted(MONTHS, key=lambda m: (-len(m), m))) + ")"
-# Date forms by precedence: pattern, then the groups of year, month and day.
+# Date forms by precedence: pattern, then the groups of year, month and day.
 DATE_FORMS = [
     ("(?U)\\b(\\d{4})-(\\d{2})-(\\d{2})\\b", (1, 2, 3)),
     (f"(?iuU)\\b(\\d{{1,2}})\\s+de\\s+{_MONTH}\\s+(?:de\\s+)?(\\d{{4}})\\b", (3, 2, 1)),
     (f"(?iuU)\\b{_MONTH}\\.?\\s+(\\d{{1,2}}),?\\s+(\\d{{4}})\\b", (3, 1, 2)),
     (f"(?iuU)\\b(\\d{{1,2}})\\s+{_MONTH}\\.?,?\\s+(\\d{{4}})\\b", (3, 2, 1)),
 ]
+#: What a text with a date of the form has, and most others have not: cheap to search for.
+DATE_HINTS = ["\\d-\\d\\d-\\d\\d", "(?iU)\\d\\s+de\\s", "(?U)\\s\\d\\d?,?\\s+\\d{4}", "(?U)\\d\\s+\\p{L}{3,10}\\.?,?\\s+\\d{4}"]
+#: The same with non-ASCII digits.
+OTHER_DIGIT = "[\\p{Nd}&&[^0-9]]"
 
 
 def dates_of_form(text: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
-    """The first valid date of a form, ``struct<start, day>``; null where there is none."""
+    """The first valid date of a form, ``struct<start, day>``; null where there is none. The text is searched twice, for the matches and for what is between them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    y, m, d = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups)
     month_of = F.create_map(*(F.lit(x) for k, v in MONTHS.items() for x in (k, v)))
-    parts = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("own"), y.alias("y"), m.alias("m"), d.alias("d"))
+    parts = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, own: F.struct(F.length(gap).alias("gap"), own.alias("own")))
 
     def step(state: Column, p: Column) -> Column:
-        month = F.coalesce(F.try_element_at(month_of, F.lower(p["m"])), p["m"].try_cast("int"))
-        year = p["y"].cast("int")
-        day = F.when(year.between(FIRST_YEAR, LAST_YEAR), F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, p["d"].cast("int")), "yyyy-MM-dd"))
+        y, m, d = (F.regexp_extract(p["own"], pattern, g) for g in groups)
+        month = F.coalesce(F.try_element_at(month_of, F.lower(m)), m.try_cast("int"))
+        year = y.cast("int")
+        day = F.when(year.between(FIRST_YEAR, LAST_YEAR), F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, d.cast("int")), "yyyy-MM-dd"))
         start = state["at"] + p["gap"]
-        first = F.when(state["first"].isNotNull(), state["first"]).when(day.isNotNull(), F.struct(start.alias("start"), day.alias("day")))
-        return F.struct((start + p["own"]).alias("at"), first.alias("first"))
+        first = F.when(state["first"].isNotNull(), state["first"]).otherwise(let(day, lambda x: F.when(x.isNotNull(), F.struct(start.alias("start"), x.alias("day")))))
+        return F.struct((start + F.length(p["own"])).alias("at"), first.alias("first"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<start:int,day:date>").alias("first"))
-    # one search decides for most texts; only those with a match are taken apart
-    return F.when(text.rlike(pattern), F.aggregate(parts, begin, step, lambda s: s["first"]))
+    return F.aggregate(parts, begin, step, lambda s: s["first"])
 
 
 def document_date(text: Column) -> Column:
     """The earliest date written in the sample, as ``yyyy-MM-dd``; of two forms at one place the earlier form."""
+
+    def dated(s: Column) -> Column:
+        # the hints decide for most texts; only those with something like the form are searched for it
+        each = [F.when(s.rlike(hint) | s.rlike(OTHER_DIGIT), dates_of_form(s, p, g)) for (p, g), hint in zip(DATE_FORMS, DATE_HINTS, strict=True)]
+        known = F.array_min(F.filter(F.transform(F.array(*each), lambda x, k: F.struct(x["start"].alias("start"), k.alias("form"), x["day"].alias("day"))), lambda x: x["start"].isNotNull()))
+        return F.date_format(known["day"], "yyyy-MM-dd")
+
     s = sample(text)
-    each = [F.struct(x["start"].alias("start"), F.lit(k).alias("form"), x["day"].alias("day")) for k, (p, g) in enumerate(DATE_FORMS) for x in [dates_of_form(s, p, g)]]
-    known = F.array_min(F.filter(F.array(*each), lambda x: x["start"].isNotNull()))
-    # one cheap test keeps texts without any year out of the four scans
-    return F.when(s.rlike("(?U)\\d{4}"), F.date_format(known["day"], "yyyy-MM-dd"))
+    # one cheap test keeps texts without any year out of the four searches
+    return F.when(s.rlike("[0-9]{4}") | s.rlike(OTHER_DIGIT), let(s, dated))
 
 
 def doc_type(text: Column) -> Column:
     """Class of a document by its markers: the best score of two or more, the earlier class on a tie."""
-    s = F.lower(sample(text))
+    return let(F.lower(sample(text)), _type_of)
+
+
+def _type_of(s: Column) -> Column:
     scores = []
     for k, (name, strong, weak) in enumerate(DOC_TYPES):
         any_strong = F.lit(False)

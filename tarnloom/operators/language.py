@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ TEXTS_PER_LANGUAGE = 400
 LEAST_PROBABILITY = 0.90
 #: Grams of a text that are weighed as evidence at most, so that a long one is not certain of everything.
 EVIDENCE = 200
+#: Texts that are weighed together.
+TEXTS_AT_ONCE = 256
 
 
 class LanguageModel:
@@ -30,6 +33,14 @@ class LanguageModel:
         totals = {k: sum(c.values()) + len(known) for k, c in counts.items()}
         for g in known:
             self.logs[g] = [math.log((counts[k].get(g, 0) + 1) / totals[k]) for k in self.languages]
+        ordered = sorted(self.logs)
+        self.keys = self._keys(np.array([[ord(c) for c in g] for g in ordered], dtype=np.uint64).reshape(-1, GRAM).T)
+        self.weights = np.array([self.logs[g] for g in ordered]).reshape(len(ordered), len(self.languages))
+
+    @staticmethod
+    def _keys(points: list | np.ndarray) -> np.ndarray:
+        """One number for each gram, from the code points of its first, second and last characters."""
+        return (points[0] << np.uint64(42)) | (points[1] << np.uint64(21)) | points[2]
 
     @staticmethod
     def grams(text: str) -> list[str]:
@@ -48,6 +59,33 @@ class LanguageModel:
         return self.languages[best] if probability >= LEAST_PROBABILITY else None
 
 
+    def detect_all(self, texts: list[str | None]) -> list[str | None]:
+        """:meth:`detect` for many texts: grams of all of them in a few passes over one array."""
+        lowered = [(t or "").lower() for t in texts]
+        # each text between two separators, which are its outer spaces
+        points = np.frombuffer("".join(f"\n{t}\n" for t in lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.array([len(t) + 2 for t in lowered], dtype=np.int64)
+        of, leads = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
+        distinct, which = np.unique(points, return_inverse=True)
+        letter = np.array([chr(c).isalpha() for c in distinct.tolist()], dtype=bool)[which]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        kept[leads] = True
+        points, of = np.where(letter, points, 32)[kept].astype(np.uint64), of[kept]
+        grams, of = self._keys([points[:-2], points[1:-1], points[2:]]), np.where(of[:-2] == of[2:], of[:-2], -1)
+        at = np.minimum(np.searchsorted(self.keys, grams), max(len(self.keys) - 1, 0))
+        known = (self.keys[at] == grams) & (of >= 0) if len(self.keys) else np.zeros(len(grams), dtype=bool)
+        at, of = at[known], of[known]
+        n = np.bincount(of, minlength=len(texts))
+        if not n.any():
+            return [None] * len(texts)
+        sums = np.stack([np.bincount(of, weights=self.weights[at, k], minlength=len(texts)) for k in range(len(self.languages))], axis=1)
+        sums *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+        best = sums.argmax(axis=1)
+        probability = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.languages[b] if m and p >= LEAST_PROBABILITY else None for b, m, p in zip(best.tolist(), n.tolist(), probability.tolist(), strict=True)]
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """From a bounded sample of labelled texts (``TEXTS_PER_LANGUAGE`` each, 4,000 characters of each)."""
     labelled = docs.select(F.col(lang_col).alias("lang"), sample(F.col(text_col)).alias("text")).dropna().filter(can_detect_language(F.col("text")))
@@ -61,11 +99,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
 
 
 def detector(model: LanguageModel):
-    """Pandas UDF from text to language; apply :func:`detect_language` for the guards."""
-
-    @F.pandas_udf(T.StringType())
-    def detect(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: None if s is None else model.detect(s))
+    """Arrow UDF from text to language; apply :func:`detect_language` for the guards."""
+
+    @F.arrow_udf(T.StringType())
+    def detect(text: pa.Array) -> pa.Array:
+        found: list[str | None] = []
+        for at in range(0, len(text), TEXTS_AT_ONCE):
+            found += model.detect_all(text.slice(at, TEXTS_AT_ONCE).to_pylist())
+        return pa.array(found, pa.string())
 
     return detect
 

@@ -1,3 +1,5 @@
+import datetime
+import random
 import re
 import unicodedata
 
@@ -6,8 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tarnloom.functions import metadata as md
 from tarnloom.functions import mime, uri
 from tarnloom.functions import text as tx
+from tarnloom.operators import language as la
 from tarnloom.operators.retrieval import normalised_question
 
 
@@ -88,3 +92,42 @@ def test_upload_uri_is_cut_by_whole_characters(spark):
 
 def test_private_addresses():
     assert uri.is_public("8.8.8.8") and not any(map(uri.is_public, ("10.1.1.1", "127.0.0.1", "169.254.169.254", "::1", "224.0.0.1", "0.0.0.0")))
+
+
+def plain_date(text):
+    """The date rules with Python's own expressions, one match after the other."""
+    text, months = text[: md.SAMPLE_CHARS], "|".join(sorted(md.MONTHS, key=len, reverse=True))
+    forms = [
+        r"\b(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})\b", rf"\b(?P<d>\d{{1,2}})\s+de\s+(?P<m>{months})\s+(?:de\s+)?(?P<y>\d{{4}})\b",
+        rf"\b(?P<m>{months})\.?\s+(?P<d>\d{{1,2}}),?\s+(?P<y>\d{{4}})\b", rf"\b(?P<d>\d{{1,2}})\s+(?P<m>{months})\.?,?\s+(?P<y>\d{{4}})\b",
+    ]
+    found = []
+    for k, form in enumerate(forms):
+        for m in re.finditer(form, text, re.IGNORECASE):
+            year, month = int(m["y"]), md.MONTHS.get(m["m"].lower()) or int(m["m"]) if m["m"].lower() in md.MONTHS or m["m"].isdigit() else 0
+            try:
+                day = datetime.date(year, month, int(m["d"]))
+            except ValueError:
+                continue
+            if 1900 <= year <= 2100:
+                found.append((m.start(), k, day.isoformat()))
+                break
+    return min(found)[2] if found else None
+
+
+def test_dates_equal_a_plain_search(spark):
+    rng = random.Random(3)
+    pieces = ["2024-03-15", "12024-03-15", "2023-02-29", "1899-01-01", "5 de Marzo de 2021", "31 de abril 1999", "Sept. 9, 1999", "MAY 7 2001", "february 30, 2001", "1 March 2024", "3 jun, 2010", "12", "2020", "-", " ", " ", "\n", ", ", "x", "de", "march", "é", "१५", "2100-12-31", "0", " "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + ["", None, "w " * 1998 + "2024-03-15", "y" * 3999 + " 2024-01-01"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", md.document_date(F.col("t")).alias("d")).collect()
+    wrong = [(texts[r.k], r.d, plain_date(texts[r.k])) for r in rows if texts[r.k] is not None and r.d != plain_date(texts[r.k])]
+    assert not wrong, wrong[:5]
+    assert sum(r.d is not None for r in rows) > 250
+
+
+def test_languages_of_many_texts_equal_one_by_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
+    model = la.train(docs)
+    texts = [r.text[:4000] for r in docs.collect()] + [None, "", " ", "é", "ab", "İstanbul Σίσυφος ΟΔΟΣ", "a1b2c3 the and of", "漢字 😀"]
+    assert model.detect_all(texts) == [None if t is None else model.detect(t) for t in texts]
+    assert la.LanguageModel({}).detect_all(["abc", None]) == [None, None]
