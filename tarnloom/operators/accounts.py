@@ -20,10 +20,10 @@ def by_email(users: DataFrame, email: str) -> DataFrame:
     return users.filter(F.col("email") == email)
 
 
-def update_users(users: DataFrame, changes: DataFrame, columns: list[str], as_of: Column) -> DataFrame:
-    """Set columns replace the old ones, and ``updated_at`` moves for rows that were named."""
+def update_users(users: DataFrame, changes: DataFrame, columns: list[str], as_of: Column, set_col: str | None = None) -> DataFrame:
+    """Set columns (see :func:`patch`) replace the old ones, and ``updated_at`` moves for rows that were named."""
     named = changes.select("id", F.lit(True).alias("__named"))
-    out = patch(users, changes, "id", columns).join(named, "id", "left")
+    out = patch(users, changes, "id", columns, set_col).join(named, "id", "left")
     return out.withColumn("updated_at", F.when(F.col("__named"), as_of).otherwise(F.col("updated_at"))).select(*users.columns)
 
 

@@ -10,6 +10,8 @@ from ..functions.text import ERROR_LENGTH
 PENDING, RUNNING, SUCCEEDED, FAILED = "pending", "running", "succeeded", "failed"
 STATUSES = [PENDING, RUNNING, SUCCEEDED, FAILED]
 TERMINAL = [SUCCEEDED, FAILED]
+#: The event of a retry: not a status, but what makes a job pending again.
+REQUEUE = "requeue"
 MOST_ATTEMPTS = 3
 
 # Error classes in order of precedence, with reason, stage and whether a retry may help.
@@ -50,22 +52,28 @@ def is_terminal(retryable: Column, attempt: Column, most: int = MOST_ATTEMPTS) -
 
 
 def fold_jobs(events: DataFrame, values: list[str], key: str = "job_id", seq: str = "seq", status: str = "status") -> DataFrame:
-    """Current state of each job from its events: the last status, the last value that is set of each column, and the number of attempts.
+    """Current state of each job from its events: its status, the last value that is set of each column, and the number of attempts.
 
-    An aggregation with map-side combination; no event has to be sorted.
+    A terminal status stays whatever comes later, but for a ``requeue``: the job is then
+    pending, and its attempts begin anew. An aggregation with map-side combination; no event
+    has to be sorted. What is gathered of a job is its terminal and requeue events, and the
+    places of its attempts.
     """
     last = lambda c, known: F.max_by(F.when(known, F.col(c)), F.when(known, F.col(seq)))
-    return events.groupBy(key).agg(
-        F.max_by(status, seq).alias(status),
+    state = events.groupBy(key).agg(
+        F.struct(
+            F.max_by(F.struct(F.col(status).alias("status")), F.col(seq)).alias("last"),
+            F.max(F.when(F.col(status) == REQUEUE, F.col(seq))).alias("requeued"),
+            F.collect_list(F.when(F.col(status).isin(TERMINAL), F.struct(F.col(seq).alias("seq"), F.col(status).alias("status")))).alias("ends"),
+            F.collect_list(F.when(F.col(status) == RUNNING, F.col(seq))).alias("runs"),
+        ).alias("__s"),
         *(last(c, F.col(c).isNotNull()).alias(c) for c in values),
-        F.count_if(F.col(status) == RUNNING).alias("attempts"),
         F.max(seq).alias("last_seq"),
     )
-
-
-def apply_transition(state: Column, event: Column) -> Column:
-    """The status after an event: a terminal status stays, but for a retry (``requeue``)."""
-    return F.when(event == "requeue", PENDING).when(state.isin(TERMINAL), state).otherwise(event)
+    since = lambda x: F.col("__s.requeued").isNull() | (x > F.col("__s.requeued"))
+    first_end = F.array_min(F.filter("__s.ends", lambda e: since(e["seq"])))["status"]
+    now = F.coalesce(first_end, F.when(F.col("__s.last.status") == REQUEUE, PENDING).otherwise(F.col("__s.last.status")))
+    return state.select(key, now.alias(status), *values, F.size(F.filter("__s.runs", since)).cast("long").alias("attempts"), "last_seq")
 
 
 def dead_letters(failures: DataFrame, key: str = "job_id", order: str = "seq", error_class: str = "error_class", error: str = "error", most: int = MOST_ATTEMPTS) -> DataFrame:

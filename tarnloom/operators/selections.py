@@ -51,6 +51,29 @@ def revoke_all(tokens: DataFrame, user_id: object) -> DataFrame:
     return tokens.withColumn("revoked", F.col("revoked") | F.coalesce(F.col("user_id") == user_id, F.lit(False)))
 
 
+def job_accepted(jobs: DataFrame) -> DataFrame:
+    """What a caller gets for a queued job."""
+    return jobs.select(F.col("id").alias("job_id"), "status", "source")
+
+
+def job_status(jobs: DataFrame) -> DataFrame:
+    """What a caller polls."""
+    return jobs.select(
+        F.col("id").alias("job_id"), "status", "source", "processed_chunks", "total_chunks", progress(F.col("processed_chunks"), F.col("total_chunks")).alias("progress"),
+        "document_id", "error", "failure_reason", "attempts", "created_at", "started_at", "finished_at",
+    )
+
+
+def failure_view(failures: DataFrame) -> DataFrame:
+    """A dead letter as operators see it: all but its owner."""
+    return failures.select(F.col("id").alias("failure_id"), *(c for c in ("job_id", "source", "filename", "content_type", "reason", "stage", "error", "attempt", "is_terminal", "diagnostics", "created_at") if c in failures.columns))
+
+
+def document_view(documents: DataFrame) -> DataFrame:
+    """A document as callers see it; without metadata the map is empty."""
+    return documents.select("id", "title", "chunk_count", "created_at", "source", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+
+
 def progress(processed: Column, total: Column) -> Column:
     """Share done, to four digits; null without a plan."""
     return F.when(total > 0, F.round(processed / total, 4))

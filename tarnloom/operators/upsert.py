@@ -86,12 +86,17 @@ def backfill(children: DataFrame, parents: DataFrame, foreign_key: str, values:
     return out.select(*dict.fromkeys([*children.columns, *values.values()]))
 
 
-def patch(stored: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """PATCH: columns that were set replace the stored ones."""
-    new = changes.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+def patch(stored: DataFrame, changes: DataFrame, key: str, columns: list[str], set_col: str | None = None) -> DataFrame:
+    """PATCH: columns that were set replace the stored ones.
+
+    ``set_col`` names an array of the names of the columns that a row sets, to null too;
+    without it those that are not null are set.
+    """
+    new = changes.select(key, *(F.col(c).alias(f"__{c}") for c in columns), *([F.col(set_col).alias("__set")] if set_col else []))
     out = stored.join(new, key, "left")
     for c in columns:
-        out = out.withColumn(c, F.coalesce(F.col(f"__{c}"), F.col(c)))
+        is_set = F.coalesce(F.array_contains("__set", c), F.lit(False)) if set_col else F.col(f"__{c}").isNotNull()
+        out = out.withColumn(c, F.when(is_set, F.col(f"__{c}")).otherwise(F.col(c)))
     return out.select(*stored.columns)
 
 

@@ -15,8 +15,11 @@ from ..functions.text import NORMALIZER_VERSION, content_hash, fallback_title, n
 from ..operators.chunking import CHUNKER_VERSION, body_of, build_chunks
 from ..operators.language import LanguageModel, detect_language
 from ..operators.upsert import gate, replace_chunks, upsert_documents
+from ..storage import new_path, written
 
 EMBED_BATCH = 100
+#: Embedded batches of each document between two writes, and so what a crash costs at most.
+BATCHES_A_WRITE = 20
 
 
 @dataclass
@@ -73,21 +76,50 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     return chunks.mapInPandas(run, schema)
 
 
-def ingest(files: DataFrame, documents: DataFrame, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], embedding_model: str, model: LanguageModel | None = None, as_of: str = "1970-01-01 00:00:00") -> Ingested:
+def embed_onwards(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], path: str, key: str = "document_id", batches: int = BATCHES_A_WRITE) -> DataFrame:
+    """``embedded(chunks)`` below ``path``, written ``batches`` batches of each document at a time.
+
+    What is written is the cursor: run again after a crash, only batches that are not there
+    are embedded. ``chunks`` has the columns ``chunk_index`` and ``batch`` of ``build_chunks``.
+    """
+    spark = chunks.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields) + ", embedding array<float>"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    begun = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop_path)
+    if begun:
+        done = written(spark.read.schema(schema).parquet(path).select(key, "batch").distinct(), "cursor")
+        chunks = chunks.join(done, [key, "batch"], "left_anti").select(*chunks.columns)
+    last = chunks.agg(F.min("batch"), F.max("batch")).first()
+    for first in range(last[0], last[1] + 1, batches) if last[0] is not None else ():
+        embedded(chunks.filter(F.col("batch").between(first, first + batches - 1)), embed).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if begun or last[0] is not None else embedded(chunks, embed)
+
+
+def cursors(embedded_chunks: DataFrame, key: str = "document_id") -> DataFrame:
+    """``processed_chunks`` of each document: those up to the first batch that is not there yet."""
+    whole = embedded_chunks.groupBy(key, "batch").agg(F.count("*").alias("n")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("batch", "n"))).alias("b"))
+    upto = F.filter("b", lambda x, k: x["batch"] == k)
+    return whole.select(key, F.aggregate(upto, F.lit(0).cast("long"), lambda n, x: n + x["n"]).cast("int").alias("processed_chunks"))
+
+
+def ingest(files: DataFrame, documents: DataFrame, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], embedding_model: str, model: LanguageModel | None = None, as_of: str = "1970-01-01 00:00:00", chunks_path: str | None = None) -> Ingested:
     """Run extracted files into the stored tables; one row per (user_id, source).
 
     ``documents`` has the columns of the gate, ``metadata_version`` among them. Only new and
     replaced documents are chunked and embedded; refreshed ones get metadata, skipped ones nothing.
+    What is extracted and normalised, and what is chunked, is written once and read by all that
+    need it. Embedded chunks go below ``chunks_path``, where a second run of the same files
+    goes on after a crash; by default that is a folder of this run alone.
     """
-    ready = prepared(files, model, embedding_model)
+    ready = written(prepared(files, model, embedding_model), "prepared")
     rejected = ready.filter(F.size("segments") == 0)
     judged = gate(ready.filter(F.size("segments") > 0), documents)
     actions = judged.select("user_id", "source", "action")
     doc_id = F.coalesce("stored_id", "id")
     writes = judged.filter(F.col("action").isin("new", "replace")).withColumn("id", doc_id)
     made = build_chunks(writes.select(F.col("id").alias("document_id"), F.col("user_id").alias("owner_id"), F.col("title").alias("document_title"), "metadata", "segments"))
-    made = made.withColumn("id", F.sha2(F.concat_ws("|", "document_id", "chunk_index"), 256)).withColumn("created_at", F.to_timestamp(F.lit(as_of)))
-    new_chunks = embedded(made.drop("batch"), embed)
+    made = written(made.withColumn("id", F.sha2(F.concat_ws("|", "document_id", "chunk_index"), 256)).withColumn("created_at", F.to_timestamp(F.lit(as_of))), "chunked")
+    new_chunks = embed_onwards(made, embed, chunks_path or new_path(files.sparkSession, "embedded"))
     counts = made.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("chunk_count"))
     fresh = judged.filter(F.col("action") == "refresh").select(F.col("stored_id").alias("id"), "metadata", F.col("metadata_version").alias("__v"))
     new_documents = writes.join(counts, "id").withColumn("created_at", F.to_timestamp(F.lit(as_of)))

@@ -6,7 +6,6 @@ document's number, in the query and in its SQL alike. Every query reads its whol
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -30,6 +29,7 @@ from ..operators import selections as se
 from ..operators import upsert as up
 from ..sources import files as fi
 from ..sources import layout as ly
+from ..storage import shared_dir
 from ..streaming import ingest as st
 from ..streaming import sweeper as sw
 from . import ingest as pi
@@ -106,9 +106,16 @@ def vs_topk_multi(spark, sf_dir):
 @query()
 def vs_lsh(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    q = first_vector(e)
-    near = vs.lsh_candidates(e, q, owner_col="label")
-    return vs.topk(near, q, 5, id_col="vec_id").select("rank", "vec_id", rounded("distance"), rounded("similarity"))
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vs.lsh_topk_of_many(e, queries, 10, id_col="vec_id").select("query_id", "id", rounded("distance"), "rank")
+
+
+@query("SELECT query.vec_id AS query_id, true AS found_most FROM embeddings query WHERE query.vec_id = 0")
+def vs_lsh_recall(spark, sf_dir):
+    """Nine in ten of the exact neighbours, over all queries."""
+    exact, near = (q(spark, sf_dir).select("query_id", "id") for q in (vs_topk_multi, vs_lsh))
+    share = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return share.select(F.lit(0).cast("long").alias("query_id"), (F.col("recall") >= 0.9).alias("found_most"))
 
 
 # ── metadata filters ──
@@ -282,13 +289,13 @@ def tx_heading_rows(spark, sf_dir):
     return rows.select(F.col("id").alias("doc_id"), "section", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(r"""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, lang AS title, left(text, 20) AS content FROM documents)
+@query(r"""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, lang AS title, text AS content FROM documents)
            SELECT source, string_agg('[Source ' || rank || ': ' || title || E']\n' || content, E'\n\n---\n\n' ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY source""")
 def tx_context(spark, sf_dir):
     from pyspark.sql import Window
 
     ranked = t(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("rank <= 5")
-    return ranked.groupBy("source").agg(tx.context_of(F.collect_list(F.struct("rank", F.col("lang").alias("title"), F.substring("text", 1, 20).alias("content")))).alias("context"))
+    return ranked.groupBy("source").agg(tx.context_of(F.collect_list(F.struct("rank", F.col("lang").alias("title"), F.col("text").alias("content")))).alias("context"))
 
 
 # ── sources ──
@@ -330,11 +337,11 @@ def src_shards(spark, sf_dir):
     return cut.select("doc_id", F.col("s.offset").alias("page_offset"), F.col("s.pages").alias("pages"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, trim(left(text, 100), E' \n') AS head, source FROM documents)
+@query(r"""WITH d AS (SELECT doc_id, trim(text, E' \n') AS head, source FROM documents)
            SELECT doc_id, 0 AS segment, CAST(1 + doc_id % 10 AS INTEGER) AS page, source AS section, source || E'\n\n' || head AS text FROM d UNION ALL SELECT doc_id, 1, CAST(2 + doc_id % 10 AS INTEGER), source, E'| k | v |\n| --- | --- |\n| a | ' || doc_id || E' |\n\n- x\n- y' FROM d""")
 def src_layout(spark, sf_dir):
     cell = lambda c: F.struct(F.array(F.struct(c.alias("text"))).alias("blocks"))
-    head = F.regexp_replace(F.substring("text", 1, 100), "^[ \\n]+|[ \\n]+$", "")
+    head = F.regexp_replace("text", "^[ \\n]+|[ \\n]+$", "")
     blocks = [
         F.to_json(F.struct(F.lit(1).alias("page"), F.lit("heading-1").alias("type"), F.col("source").alias("text"))),
         F.to_json(F.struct(F.lit(1).alias("page"), F.lit("paragraph").alias("type"), head.alias("text"))),
@@ -413,9 +420,17 @@ def md_doc_type(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", md.doc_type(marked).alias("doc_type"))
 
 
-@query("""SELECT doc_id, '{' || CASE WHEN doc_id % 2 = 0 THEN '"doc_type":"invoice","document_date":"2024-03-15",' ELSE '"doc_type":"invoice",' END || '"extraction_method":"local","extractor_version":"extractive-v2"' || CASE WHEN doc_id % 3 = 0 THEN ',"language":"' || lang || '"' ELSE '' END || ',"mime_type":"text/plain"}' AS metadata FROM documents""")
+_ASSEMBLED = "'2024-03-1' || doc_id % 2 || ', invoice number 7, to be paid. ' || text"
+
+
+@query(f"""WITH m(k, name, strong, marker) AS (VALUES {_MARKER_ROWS}),
+           d AS (SELECT doc_id, lower(left({_ASSEMBLED}, 4000)) AS s FROM documents),
+           h AS (SELECT doc_id, k, name, CASE WHEN bool_or(strong) THEN 2 ELSE count(*) END AS score FROM d JOIN m ON contains(s, marker) GROUP BY doc_id, k, name),
+           b AS (SELECT doc_id, first(name ORDER BY score DESC, k) AS name FROM h GROUP BY doc_id)
+           SELECT doc_id, '{{"doc_type":"' || name || '","document_date":"2024-03-1' || doc_id % 2 || '","extraction_method":"local","extractor_version":"extractive-v2"'
+                  || CASE WHEN doc_id % 3 = 0 THEN ',"language":"' || lang || '"' ELSE '' END || ',"mime_type":"text/plain"}}' AS metadata FROM documents JOIN b USING (doc_id)""")
 def md_assemble(spark, sf_dir):
-    text = F.concat(F.when(F.col("doc_id") % 2 == 0, "2024-03-15 ").otherwise("no date here: "), F.lit("invoice number 7, to be paid within thirty days. "), F.lit(""))
+    text = F.concat(F.lit("2024-03-1"), F.col("doc_id") % 2, F.lit(", invoice number 7, to be paid. "), F.col("text"))
     built = md.metadata_map(text, F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.lit("text/plain"), F.lit("local"))
     return t(spark, sf_dir, "documents").select("doc_id", md.canonical_map(built).alias("metadata"))
 
@@ -522,6 +537,14 @@ def snk_replace_chunks(spark, sf_dir):
     return up.replace_chunks(orders, new, "o_custkey").select("o_orderkey", "o_orderstatus")
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+def flt_patch_null(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    fields = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("c_name"), F.lit("c_mktsegment"))).otherwise(F.array(F.lit("c_name")))
+    changes = c.filter("c_custkey % 2 = 0").select("c_custkey", F.lit("Renamed").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"), fields.alias("fields"))
+    return up.patch(c, changes, "c_custkey", ["c_name", "c_mktsegment"], set_col="fields")
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 6 = 0 THEN 'BANKING' ELSE c_mktsegment END AS c_mktsegment FROM customer""")
 def flt_patch(spark, sf_dir):
     c = t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
@@ -613,13 +636,15 @@ def jb_by_reason(spark, sf_dir):
 
 
 def _jobs(events: DataFrame) -> DataFrame:
-    """A user's events are the transitions of one job."""
-    status = F.when(F.col("event_type").isin("click", "view"), "running").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").otherwise("pending")
+    """A user's events are the transitions of one job, sign-ups its retries."""
+    status = F.when(F.col("event_type").isin("click", "view"), "running").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").otherwise(jb.REQUEUE)
     return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), status.alias("status"), F.when(status == "running", F.col("ts").cast("timestamp")).alias("heartbeat_at"), F.when(status == "running", F.col("value")).alias("progress"))
 
 
-_JOBS_SQL = """WITH j AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'succeeded' ELSE 'pending' END AS status, ts, value FROM events),
-               s AS (SELECT job_id, arg_max(status, seq) AS status, max(CASE WHEN status = 'running' THEN seq END) AS beat, count(*) FILTER (status = 'running') AS attempts, max(seq) AS last_seq FROM j GROUP BY job_id),
+_JOBS_SQL = """WITH j AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'succeeded' ELSE 'requeue' END AS status, ts, value FROM events),
+               r AS (SELECT *, coalesce(max(CASE WHEN status = 'requeue' THEN seq END) OVER (PARTITION BY job_id), -1) AS requeued FROM j),
+               s AS (SELECT job_id, coalesce(arg_min(status, seq) FILTER (status IN ('failed', 'succeeded') AND seq > requeued), CASE WHEN max(seq) = any_value(requeued) THEN 'pending' ELSE arg_max(status, seq) END) AS status,
+                            max(CASE WHEN status = 'running' THEN seq END) AS beat, count(*) FILTER (status = 'running' AND seq > requeued) AS attempts, max(seq) AS last_seq FROM r GROUP BY job_id),
                f AS (SELECT s.job_id, s.status, j.value AS progress, j.ts AS heartbeat_at, s.attempts, s.last_seq FROM s LEFT JOIN j ON j.job_id = s.job_id AND j.seq = s.beat)"""
 
 
@@ -785,21 +810,29 @@ def ingest_pages(spark, sf_dir):
     return done.chunks.select("document_id", "owner_id", "chunk_index", "char_start", "char_end", "section", "token_count", "content")
 
 
-@query("SELECT doc_id, CAST(n_chars AS BIGINT) AS n FROM documents")
+@query(r"""SELECT doc_id, 0 AS first, CAST(length(trim(text, E' \n\t')) AS INTEGER) AS last, true AS exact FROM documents WHERE trim(text, E' \n\t') <> ''""")
 def st_ingest(spark, sf_dir):
-    """A stream over the documents' file, run to its end twice; the second run finds nothing new."""
-    root = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
-    source = t(spark, sf_dir, "documents")
-    st.enqueue(source.select("doc_id", "n_chars"), f"{root}/jobs")
+    """A stream of the documents' texts into chunks, run to its end twice; the second run finds nothing new. Offsets are exact and cover the text."""
+    root = f"{shared_dir(spark)}/tarnloom/stream-{uuid.uuid4().hex}"
+    st.enqueue(t(spark, sf_dir, "documents").select("doc_id", "text"), f"{root}/jobs")
+
+    def to_chunks(batch: DataFrame) -> DataFrame:
+        body = F.regexp_replace("text", "^[ \\n\\t]+|[ \\n\\t]+$", "")
+        one = F.array(F.struct(body.alias("text"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section")))
+        made = ch.build_chunks(batch.select(F.col("doc_id").cast("string").alias("document_id"), body.alias("body"), one.alias("segments")))
+        exact = F.substring(F.col("body"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("content")
+        return made.select("document_id", "chunk_index", "char_start", "char_end", exact.alias("exact"))
+
     for _ in range(2):
-        st.start_ingest(spark, f"{root}/jobs", "doc_id long, n_chars long", lambda b: b.select(F.col("doc_id").cast("string").alias("document_id"), "n_chars"), f"{root}/chunks", f"{root}/checkpoint").awaitTermination()
-    return st.current_chunks(spark, f"{root}/chunks").select(F.col("document_id").cast("long").alias("doc_id"), F.col("n_chars").alias("n"))
+        st.start_ingest(spark, f"{root}/jobs", "doc_id long, text string", to_chunks, f"{root}/chunks", f"{root}/checkpoint").awaitTermination()
+    chunks = st.current_chunks(spark, f"{root}/chunks").groupBy("document_id").agg(F.min("char_start").alias("first"), F.max("char_end").alias("last"), F.every("exact").alias("exact"))
+    return chunks.select(F.col("document_id").cast("long").alias("doc_id"), "first", "last", "exact")
 
 
 @query()
 def st_sweeper(spark, sf_dir):
     """Heartbeats of the events as a stream; jobs that were silent for a day are reported."""
-    root = f"{_scratch(spark)}/sweep-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/tarnloom/sweep-{uuid.uuid4().hex}"
     beats = t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("heartbeat_at"), F.when(F.col("event_type") == "purchase", "succeeded").otherwise("running").alias("status"))
     beats.write.parquet(f"{root}/beats")
     late = beats.agg((F.max("heartbeat_at") + F.expr("INTERVAL 30 DAYS")).alias("heartbeat_at")).select(F.lit("clock").alias("job_id"), "heartbeat_at", F.lit("succeeded").alias("status"))
@@ -816,9 +849,3 @@ def st_sweeper(spark, sf_dir):
     late.withColumn("heartbeat_at", F.col("heartbeat_at") + F.expr("INTERVAL 1 DAY")).write.mode("append").parquet(f"{root}/beats")
     run()
     return spark.read.schema(sw.OUTPUT).parquet(out).select("job_id", F.date_format("last_heartbeat", "yyyy-MM-dd HH:mm:ss").alias("last_heartbeat"), "action")
-
-
-def _scratch(spark: SparkSession) -> str:
-    """The folder that the cluster shares, else a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") + "/tarnloom" if shared else "file://" + tempfile.mkdtemp(prefix="tarnloom-")

@@ -1,8 +1,8 @@
-"""Files to segments: one branch per format, so each parser sees its own rows only."""
+"""Files to segments, all formats in one pass: each parser is given the content of its own rows only, null for all others."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,49 +22,42 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("content_type"), F.col("path").alias("source"))
 
 
-def _decoded() -> Column:
-    return F.make_valid_utf8(F.col("content").cast("string"))
+def _decoded(content: Column) -> Column:
+    return F.make_valid_utf8(content.cast("string"))
 
 
-def _plain() -> Column:
-    text = strip(_decoded())
+def _plain(content: Column) -> Column:
+    text = strip(_decoded(content))
     one = F.struct(text.alias("text"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"))
     return F.when(text != "", F.array(one)).otherwise(F.array().cast(SEGMENT_TYPE))
 
 
-def _by(segments: Column):
-    return lambda df: df.withColumn("segments", segments.cast(SEGMENT_TYPE)).withColumn("error", F.lit(None).cast("string"))
+def _read(segments: Column, error: Column | None = None) -> Column:
+    return F.struct(segments.cast(SEGMENT_TYPE).alias("segments"), (F.lit(None) if error is None else error).cast("string").alias("error"))
 
 
-def _parsed(read):
-    def run(df: DataFrame) -> DataFrame:
-        got = df.withColumn("__got", segments_udf(read)("content"))
-        return got.withColumn("segments", F.col("__got.segments")).withColumn("error", F.col("__got.error")).drop("__got")
-
-    return run
-
-
-#: MIME type to a function from rows with ``content`` to rows with ``segments`` and ``error``. Register more here.
-LOADERS = {
-    mime.PLAIN: lambda df: _by(_plain())(df),
-    mime.MARKDOWN: lambda df: _by(heading_segments(_decoded()))(df),
-    mime.HTML: lambda df: _by(heading_segments(F.col("__markdown")))(df.withColumn("__markdown", html_to_markdown(_decoded()))).drop("__markdown"),
-    mime.DOCX: lambda df: _parsed(docx_segments)(df),
-    mime.PDF: lambda df: _parsed(pdf_segments)(df),
+#: MIME type to a column function from content to ``struct<segments, error>``. Register more here.
+LOADERS: dict[str, Callable[[Column], Column]] = {
+    mime.PLAIN: lambda content: _read(_plain(content)),
+    mime.MARKDOWN: lambda content: _read(heading_segments(_decoded(content))),
+    mime.HTML: lambda content: _read(heading_segments(html_to_markdown(_decoded(content)))),
+    mime.DOCX: lambda content: segments_udf(docx_segments)(content),
+    mime.PDF: lambda content: segments_udf(pdf_segments)(content),
 }
 
 
 def extract_local(files: DataFrame) -> DataFrame:
-    """``files(content, filename, content_type, ...)`` with ``mime, segments, error``.
+    """``files(content, filename, content_type, ...)`` with ``mime, segments, error``; the input is read once.
 
     No segments is a measurement, not an error; a format without a loader is one.
     """
     typed = files.withColumn("mime", mime.resolve_mime(F.col("filename"), F.col("content_type")))
-    branches = [load(typed.filter(F.col("mime") == kind)) for kind, load in LOADERS.items()]
-    unknown = typed.filter(~F.coalesce(F.col("mime").isin(list(LOADERS)), F.lit(False)))
-    branches.append(unknown.withColumn("segments", F.array().cast(SEGMENT_TYPE)).withColumn("error", mime.unsupported_message(F.col("filename"), False)))
-    every = reduce(DataFrame.unionByName, branches)
-    return every.withColumn("segments", F.filter("segments", lambda s: strip(s["text"]) != ""))
+    found = _read(F.array().cast(SEGMENT_TYPE), mime.unsupported_message(F.col("filename"), False))
+    for kind, load in LOADERS.items():
+        own = F.col("mime") == kind
+        found = F.when(own, load(F.when(own, F.col("content")))).otherwise(found)
+    read = typed.withColumn("__read", found)
+    return read.withColumn("segments", F.filter(F.col("__read.segments"), lambda s: strip(s["text"]) != "")).withColumn("error", F.col("__read.error")).drop("__read")
 
 
 def load_strict(files: DataFrame) -> DataFrame:

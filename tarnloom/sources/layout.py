@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,8 @@ from pyspark.sql import types as T
 from ..functions import mime
 from ..operators.headings import SECTION_LENGTH
 from ..operators.quality_gate import assess, passes, rejection, remedy
-from .office import SEGMENTS
+from ..storage import written
+from .office import SEGMENTS, pdf_cut
 
 OCR_METHOD = "docai-layout-v1"
 SHARD_PAGES = 15
@@ -38,6 +42,24 @@ def halved(offset: int, page_bytes: list[int], most: int = SHARD_BYTES) -> list[
     return halved(offset, page_bytes[:half], most) + halved(offset + half, page_bytes[half:], most)
 
 
+def cut(content: bytes, kind: str, pages: int | None, cutter: Callable[[bytes, int, int], bytes] = pdf_cut, most: int = SHARD_BYTES) -> Iterator[tuple[int, bytes]]:
+    """(page offset, content) of the parts that one call of the extractor takes: 15 pages and ``most`` bytes, or one page.
+
+    Only a PDF of known length can be cut; all else is one part.
+    """
+    if kind != mime.PDF or not pages or (pages <= SHARD_PAGES and len(content) <= most):
+        yield 0, content
+        return
+    todo = [(at, min(SHARD_PAGES, pages - at)) for at in range(0, pages, SHARD_PAGES)][::-1]
+    while todo:
+        first, n = todo.pop()
+        part = cutter(content, first, n)
+        if len(part) <= most or n == 1:
+            yield first, part
+        else:
+            todo += [(first + n // 2, n - n // 2), (first, n // 2)]
+
+
 def over_budget(pages: Column) -> Column:
     return F.coalesce(pages > MOST_PAGES, F.lit(False))
 
@@ -103,21 +125,68 @@ def layout_segments(tree: pd.Series, offset: pd.Series) -> pd.Series:
     return pd.Series([[] if t is None else tree_segments(json.loads(t), int(o or 0)) for t, o in zip(tree, offset, strict=True)])
 
 
-def ocr_stage(files: DataFrame, client: Callable[[bytes, str], dict], concurrency: int = 4) -> DataFrame:
+class Staging(Protocol):
+    """A bucket that the batch extractor reads from and writes to."""
+
+    def put(self, name: str, content: bytes, kind: str) -> None: ...
+
+    def names(self, prefix: str) -> list[str]: ...
+
+    def get(self, name: str) -> bytes: ...
+
+    def delete(self, name: str) -> None: ...
+
+
+def batch_client(bucket: Staging, start: Callable[[str, str, str], Callable[[], None]], prefix: str = "ocr") -> Callable[[bytes, str], dict]:
+    """A client that stages a file, runs a batch operation over it, and joins the JSON shards that it leaves.
+
+    ``start`` is given the input's name, its MIME type and the output's prefix, and returns
+    what waits for the end. Shards are joined in the order of their names. Whatever happens,
+    everything staged is deleted.
+    """
+
+    def run(content: bytes, kind: str) -> dict:
+        root = f"{prefix}/{uuid.uuid4().hex}"
+        try:
+            bucket.put(f"{root}/input/document", content, kind)
+            start(f"{root}/input/document", kind, f"{root}/output/")()
+            found = [json.loads(bucket.get(name)) for name in sorted(bucket.names(f"{root}/output/")) if name.endswith(".json")]
+            if not found:
+                raise RuntimeError("the batch operation left no output")
+            return {"blocks": [block for tree in found for block in tree.get("blocks", [])]}
+        finally:
+            for name in bucket.names(f"{root}/"):
+                bucket.delete(name)
+
+    return run
+
+
+def ocr_stage(files: DataFrame, client: Callable[[bytes, str], dict], concurrency: int = 4, batch: Callable[[bytes, str], dict] | None = None, batch_pages: int = 30, cutter: Callable[[bytes, int, int], bytes] = pdf_cut) -> DataFrame:
     """``segments`` by a remote extractor, an injected function from bytes and MIME type to a layout tree.
 
-    As many calls run at once as there are partitions. An error of the client is the row's error.
+    A long PDF is cut into parts whose page numbers are moved back to the whole document, or
+    goes to ``batch`` whole if that is given and it has more than ``batch_pages`` pages. As
+    many files are worked on at once as there are partitions, and four parts of each. An
+    error of the client is the row's error.
     """
     fields = [f for f in files.schema.fields if f.name not in ("segments", "error")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", segments {SEGMENTS}, error string"
 
+    def read(content: bytes, kind: str, pages: int | None) -> list[dict]:
+        if batch and (pages or 0) > batch_pages:
+            return tree_segments(batch(content, kind))
+        with ThreadPoolExecutor(4) as pool:
+            parts = pool.map(lambda part: tree_segments(client(part[1], kind), part[0]), cut(content, kind, pages, cutter))
+            return [s for part in parts for s in part]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[[f.name for f in fields]].copy()
+        for rows in batches:
+            out = rows[[f.name for f in fields]].copy()
             found, errors = [], []
-            for content, kind in zip(batch["content"], batch["mime"], strict=True):
+            lengths = rows["page_count"] if "page_count" in rows else [None] * len(rows)
+            for content, kind, pages in zip(rows["content"], rows["mime"], lengths, strict=True):
                 try:
-                    found.append(tree_segments(client(bytes(content), kind)))
+                    found.append(read(bytes(content), kind, None if pages is None or pd.isna(pages) else int(pages)))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001
                     found.append([])
@@ -127,19 +196,20 @@ def ocr_stage(files: DataFrame, client: Callable[[bytes, str], dict], concurrenc
     return files.select(*(f.name for f in fields)).repartition(concurrency).mapInPandas(run, schema)
 
 
-def extract_with_escalation(local: DataFrame, client: Callable[[bytes, str], dict] | None, ocr_enabled: bool, least: int = 50) -> DataFrame:
+def extract_with_escalation(local: DataFrame, client: Callable[[bytes, str], dict] | None, ocr_enabled: bool, least: int = 50, **ocr) -> DataFrame:
     """From :func:`tarnloom.sources.files.extract_local` with ``page_count``: local text, else OCR, else an error.
 
-    Only rows that fail the gate reach the client: they are a branch of their own, as a
-    filter next to a Python function would not promise that it is not called.
+    The local extraction is written once, as both branches read it. Only rows that fail the
+    gate reach the client: they are a branch of their own, as a filter next to a Python
+    function would not promise that it is not called. ``ocr`` goes to :func:`ocr_stage`.
     """
     judged = local.withColumn("method", F.lit("local")).withColumn("report", assess(F.col("segments"), F.col("page_count")))
-    wanted = F.col("mime").isin(mime.OCR_ONLY) | (F.col("mime").isin(mime.OCR_CAPABLE) & F.col("error").isNull() & ((F.size("segments") == 0) | ~passes(F.col("report"), least)))
-    wanted = F.coalesce(wanted & ~over_budget(F.col("page_count")), F.lit(False))
     if client is None:
         return _gated(judged, least, remedy(False, ocr_enabled))
-    kept = _gated(judged.filter(~wanted), least, remedy(False, ocr_enabled))
-    done = ocr_stage(judged.filter(wanted).drop("report"), client).withColumn("method", F.lit(OCR_METHOD))
+    wanted = F.col("mime").isin(mime.OCR_ONLY) | (F.col("mime").isin(mime.OCR_CAPABLE) & F.col("error").isNull() & ((F.size("segments") == 0) | ~passes(F.col("report"), least)))
+    judged = written(judged.withColumn("__wanted", F.coalesce(wanted & ~over_budget(F.col("page_count")), F.lit(False))), "judged")
+    kept = _gated(judged.filter("not __wanted").drop("__wanted"), least, remedy(False, ocr_enabled))
+    done = ocr_stage(judged.filter("__wanted").drop("report", "__wanted"), client, **ocr).withColumn("method", F.lit(OCR_METHOD))
     return kept.unionByName(_gated(done.withColumn("report", assess(F.col("segments"), F.col("page_count"))), least, remedy(True, ocr_enabled)))
 
 

@@ -59,6 +59,27 @@ def pdf_segments(content: bytes) -> list[dict]:
     return [{"text": t.strip(), "page": k, "section": None} for k, t in enumerate(pdf_pages(content), 1) if t.strip()]
 
 
+def pdf_page_count(content: bytes) -> int | None:
+    """Null for what cannot be read as a PDF, or not here."""
+    try:
+        import pypdf
+
+        return len(pypdf.PdfReader(io.BytesIO(content)).pages)
+    except Exception:  # noqa: BLE001  the reader of the text says what is wrong
+        return None
+
+
+def pdf_cut(content: bytes, first: int, pages: int) -> bytes:
+    """A PDF of some pages of another. Needs ``pypdf``, which is optional."""
+    import pypdf
+
+    reader, writer, out = pypdf.PdfReader(io.BytesIO(content)), pypdf.PdfWriter(), io.BytesIO()
+    for page in reader.pages[first : first + pages]:
+        writer.add_page(page)
+    writer.write(out)
+    return out.getvalue()
+
+
 def segments_udf(read):
     """Pandas UDF from bytes to ``struct<segments, error>``: a file that cannot be read is a row with its error."""
 

@@ -47,10 +47,15 @@ def test_topk_of_many_equals_one_by_one(spark, sf):
         assert [many[q.query_id, r.rank] for r in one] == [r.vec_id for r in one] and one[0].vec_id == q.query_id
 
 
-def test_lsh_finds_the_vector_itself(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q = [float(x) for x in e.filter("vec_id = 3").first().embedding]
-    assert vs.topk(vs.lsh_candidates(e, q), q, 1, id_col="vec_id").first().vec_id == 3
+def test_lsh_recall(spark):
+    """Against the exact search, for every id divisible by 100; wider probes find no less."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = {(r.query_id, r.id) for r in vs.topk_of_many(e, queries, 10, id_col="vec_id").collect()}
+    near = {(r.query_id, r.id): r.rank for r in vs.lsh_topk_of_many(e, queries, 10, id_col="vec_id").collect()}
+    assert len(exact) == 200 and len(exact & set(near)) >= 0.9 * 200 and all(near[q, q] == 1 for q, _ in exact)
+    narrow = [len(exact & {(r.query_id, r.id) for r in vs.lsh_topk_of_many(e, queries, 10, id_col="vec_id", width=0.5, widen=w).collect()}) for w in (0, 2)]
+    assert narrow[0] < narrow[1]
 
 
 def test_retrieve_refuses_blank_questions(spark):
@@ -98,7 +103,10 @@ def test_jobs(spark):
     assert got["SourceFetchError"].retryable and got["LowTextYieldError"].stage == "quality_gate" and got["nonsense"].reason == got[None].reason == "internal"
     events = spark.createDataFrame([("j", 1, "pending", None), ("j", 2, "running", 5), ("j", 3, "failed", None), ("j", 4, "running", None), ("k", 1, "pending", None)], "job_id string, seq int, status string, done int")
     state = {r.job_id: r for r in jb.fold_jobs(events, ["done"]).collect()}
-    assert (state["j"].status, state["j"].done, state["j"].attempts) == ("running", 5, 2) and state["k"].attempts == 0
+    assert (state["j"].status, state["j"].done, state["j"].attempts) == ("failed", 5, 2) and (state["k"].status, state["k"].attempts) == ("pending", 0)
+    later = [("j", 5, "requeue", None), ("k", 2, "running", 1), ("k", 3, "succeeded", None), ("k", 4, "failed", None), ("l", 1, "requeue", None), ("l", 2, "running", 2), ("l", 3, "running", 3)]
+    state = {r.job_id: r for r in jb.fold_jobs(events.unionAll(spark.createDataFrame(later, events.schema)), ["done"]).collect()}
+    assert [(state[k].status, state[k].done, state[k].attempts, state[k].last_seq) for k in "jkl"] == [("pending", 5, 0, 5), ("succeeded", 1, 1, 4), ("running", 3, 2, 3)]
     letters = jb.dead_letters(spark.createDataFrame([("j", k, "SourceFetchError", "e" * 3000) for k in range(3)], "job_id string, seq int, error_class string, error string")).orderBy("seq").collect()
     assert [x.is_terminal for x in letters] == [False, False, True] and len(letters[0].error) == 2000
 
