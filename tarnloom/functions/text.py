@@ -5,9 +5,12 @@ All of them stay inside the JVM, but for NFKC, which Spark lacks.
 
 from __future__ import annotations
 
+import base64
+import functools
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +114,29 @@ def count_tokens(c: Column) -> Column:
     return F.floor(F.length(c) / CHARS_PER_TOKEN)
 
 
+def token_counter(vocabulary: str, pattern: str):
+    """Arrow UDF from text to its number of tokens, by a vocabulary file of lines ``base64 rank`` and the pattern that cuts words.
+
+    Needs ``tiktoken``. The file must be where the executors run; it is read once a worker.
+    """
+
+    @F.arrow_udf(T.LongType())
+    def count(texts: pa.Array) -> pa.Array:
+        encoding = _encoding(vocabulary, pattern)
+        return pa.array([None if t is None else len(encoding.encode_ordinary(t)) for t in texts.to_pylist()], pa.int64())
+
+    return count
+
+
+@functools.cache
+def _encoding(vocabulary: str, pattern: str):
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("tarnloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def mask_password(url: Column) -> Column:
     """``scheme://user:***@host`` for logs."""
     return F.regexp_replace(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^:/@]*):[^@/]*@", "$1:***@")

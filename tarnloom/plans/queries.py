@@ -829,7 +829,7 @@ def st_ingest(spark, sf_dir):
     return chunks.select(F.col("document_id").cast("long").alias("doc_id"), "first", "last", "exact")
 
 
-@query()
+@query("""SELECT CAST(user_id AS VARCHAR) AS job_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_heartbeat, 'requeue' AS action FROM events GROUP BY user_id HAVING arg_max(event_type, {'a': ts, 'b': CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END}) <> 'purchase'""")
 def st_sweeper(spark, sf_dir):
     """Heartbeats of the events as a stream; jobs that were silent for a day are reported."""
     root = f"{shared_dir(spark)}/tarnloom/sweep-{uuid.uuid4().hex}"

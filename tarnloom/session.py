@@ -26,6 +26,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def config_path(value: str, root: str | Path) -> str:
+    """A configured path made absolute: as given, else a file below the working folder, else one below ``root``; empty stays empty."""
+    if not value:
+        return value
+    path = Path(value).expanduser()
+    if path.is_absolute():
+        return str(path)
+    tried = [(base / path).resolve() for base in (Path.cwd(), Path(root))]
+    return str(next((p for p in tried if p.is_file()), tried[0]))
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for one machine: UTC, adaptive execution, few shuffle partitions."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tarnloom")

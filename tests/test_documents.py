@@ -1,4 +1,6 @@
+import base64
 import io
+import json
 import zipfile
 
 import pytest
@@ -7,9 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnloom.functions import metadata as md
+from tarnloom.functions import text as tx
 from tarnloom.operators import chunking as ch
 from tarnloom.operators import headings as hd
 from tarnloom.operators import quality_gate as qg
+from tarnloom.session import config_path
 from tarnloom.sources import connectors, files, layout
 from tarnloom.sources.html import to_markdown
 from tarnloom.sources.office import docx_segments
@@ -118,6 +122,100 @@ def test_layout_and_escalation(spark):
     assert "0 characters per page across 20 pages" in off["thin"].error and off["thin"].error.endswith(qg.REMEDY_DISABLED)
 
 
+def test_long_scans_are_cut_and_batched(spark, tmp_path):
+    """Parts of 15 pages, halved by bytes; page numbers of the whole document; the batch path joins shards by name and leaves nothing behind."""
+    paged = lambda content, first, n: b"%d,%d" % (first, n)
+    assert [(at, part) for at, part in layout.cut(b"x", "application/pdf", 40, paged)] == [(0, b"0,15"), (15, b"15,15"), (30, b"30,10")]
+    heavy = lambda content, first, n: b"p" * 9 * n
+    assert [at for at, _ in layout.cut(b"x" * 99, "application/pdf", 6, heavy, most=20)] == [0, 1, 3, 4] and [at for at, _ in layout.cut(b"x" * 99, "application/pdf", 1, heavy, most=5)] == [0]
+    assert [at for at, _ in layout.cut(b"x" * 99, "text/html", 40, heavy, most=5)] == [0]
+    rows = [("a", b"x", "application/pdf", [], None, 40), ("b", b"x", "application/pdf", [], None, 200), ("c", b"x", "application/pdf", [], None, None)]
+    local = spark.createDataFrame(rows, f"id string, content binary, mime string, segments {files.SEGMENT_TYPE}, error string, page_count int")
+    client = lambda content, kind: {"blocks": [{"text": content.decode() * 500, "page": 1}]}
+
+    class Bucket:
+        def put(self, name, content, kind):
+            (tmp_path / name.replace("/", "~")).write_bytes(content)
+
+        def names(self, prefix):
+            return [p.name.replace("~", "/") for p in tmp_path.iterdir() if p.name.replace("~", "/").startswith(prefix)]
+
+        def get(self, name):
+            return (tmp_path / name.replace("/", "~")).read_bytes()
+
+        def delete(self, name):
+            (tmp_path / name.replace("/", "~")).unlink()
+
+    def start(source, kind, target):
+        def wait():
+            for name, page in (("2.json", 102), ("10.json", 1), ("note.txt", 0)):
+                Bucket().put(target + name, json.dumps({"blocks": [{"text": "z" * 20_000, "page": page}]}).encode(), kind)
+
+        return wait
+
+    got = {r.id: r for r in layout.extract_with_escalation(local, client, True, cutter=paged, batch=layout.batch_client(Bucket(), start), batch_pages=100).collect()}
+    assert [(s.page, s.text[:4]) for s in got["a"].segments] == [(1, "0,15"), (16, "15,1"), (31, "30,1")] and [s.page for s in got["b"].segments] == [1, 102] and got["c"].segments[0].text.startswith("xx")
+    assert list(tmp_path.iterdir()) == []
+    with pytest.raises(RuntimeError):
+        layout.batch_client(Bucket(), lambda *a: lambda: None)(b"x", "application/pdf")
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_sources_are_fetched_once(spark, tmp_path):
+    """However many formats there are, each address is asked for once on its way to segments."""
+    log = str(tmp_path / "asked")
+
+    def fetch(uri):
+        with open(log, "a") as f:
+            f.write(f"{uri}\n")
+        return connectors.Fetched(b"# T\ntext" if uri.endswith("md") else b"<h1>T</h1>", uri.rsplit("/", 1)[1], None)
+
+    names = [f"https://h/{k}.{kind}" for k in range(5) for kind in ("md", "html", "txt", "zip", "docx")]
+    fetched = connectors.fetch_sources(spark.createDataFrame([(n,) for n in names], "source string"), {"https": fetch}, 2)
+    got = files.extract_local(fetched).collect()
+    assert len(got) == 25 and sorted(open(log).read().split()) == sorted(names)
+    assert all(bool(r.error) == r.source.endswith(("zip", "docx")) for r in got)
+
+
+def test_drive():
+    answers = {("1", "id,name,mimeType"): {"name": "Doc", "mimeType": "application/vnd.google-apps.document"}, ("2", "id,name,mimeType"): {"name": "a.pdf", "mimeType": "application/pdf"}, ("3", "id,name,mimeType"): {"mimeType": "application/vnd.google-apps.form"}}
+
+    def get(url, query, headers):
+        assert headers == {"Authorization": "Bearer t"}
+        rest = url.removeprefix(connectors.DRIVE_FILES + "/").split("/")
+        if rest[0] == "9":
+            return 404, b""
+        if "fields" in query:
+            return 200, json.dumps(answers[rest[0], query["fields"]]).encode()
+        return 200, f"{rest[1:]} {query.get('mimeType') or query['alt']}".encode()
+
+    fetch = connectors.drive_connector(lambda: "t", get)
+    assert fetch("gdrive://1") == connectors.Fetched(b"['export'] text/html", "Doc.html", "text/html")
+    assert fetch("gdrive://2") == connectors.Fetched(b"[] media", "a.pdf", "application/pdf")
+    for bad in ("gdrive://3", "gdrive://9"):
+        with pytest.raises(connectors.FetchError):
+            fetch(bad)
+    with pytest.raises(connectors.FetchError):
+        connectors.drive_connector(lambda: "t", get, most_bytes=3)("gdrive://2")
+    with pytest.raises(connectors.NotConfigured):
+        connectors.CONNECTORS["gdrive"]("gdrive://2")
+
+
+def test_config_path(tmp_path, monkeypatch):
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root" / "key").touch()
+    monkeypatch.chdir(tmp_path)
+    assert config_path("", "/") == "" and config_path("/x/y", "/") == "/x/y" and config_path("key", tmp_path / "root") == str(tmp_path / "root" / "key")
+    (tmp_path / "key").touch()
+    assert config_path("key", tmp_path / "root") == str(tmp_path / "key") and config_path("none", "/") == str(tmp_path / "none")
+
+
+def test_token_counter(spark, tmp_path):
+    (tmp_path / "v").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate([*(bytes([b]) for b in range(256)), b"ab", b"abc"])))
+    rows = spark.createDataFrame([("abc ab",), ("",), (None,), ("é",)], "t string").select(tx.token_counter(str(tmp_path / "v"), r"\w+|\W+")("t").alias("n")).collect()
+    assert [r.n for r in rows] == [3, 0, None, 2]
+
+
 def test_connectors(spark):
     assert connectors.drive_plan("Doc", "application/vnd.google-apps.document") == ("export", "Doc.html", "text/html")
     assert connectors.drive_plan("a.pdf", "application/pdf") == ("download", "a.pdf", None)

@@ -92,6 +92,30 @@ def test_ingest_twice_changes_nothing_and_edits_replace(spark):
     assert edited.chunks.orderBy("chunk_index").collect()[-1].content.endswith("Edited.")
 
 
+def test_embedding_goes_on_where_it_stopped(spark, tmp_path):
+    """After a crash only batches that were not written are embedded, and the cursor is what is there."""
+    chunks = spark.createDataFrame([(d, k, k // 10, f"{d}{k}") for d, n in (("a", 75), ("b", 12)) for k in range(n)], "document_id string, chunk_index int, batch int, content string")
+    log, path = tmp_path / "calls", f"file://{tmp_path}/embedded"
+
+    def embed(texts, fail=None):
+        if fail and fail in texts:
+            raise RuntimeError("crash")
+        with open(log, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return [[float(len(t))] for t in texts]
+
+    with pytest.raises(Exception, match="crash"):
+        pi.embed_onwards(chunks, lambda texts: embed(texts, "a45"), path, batches=2)
+    done = {r.document_id: r.processed_chunks for r in pi.cursors(spark.read.parquet(path)).collect()}
+    assert done == {"a": 40, "b": 12}
+    first = set(log.read_text().split())
+    log.unlink()
+    out = pi.embed_onwards(chunks, embed, path, batches=2).collect()
+    assert sorted((r.document_id, r.chunk_index) for r in out) == sorted((r.document_id, r.chunk_index) for r in chunks.collect())
+    assert set(log.read_text().split()) == {f"a{k}" for k in range(40, 75)} and {"a0", "b11"} <= first
+    assert pi.embed_onwards(chunks, None, path).count() == 87 and {r.processed_chunks for r in pi.cursors(spark.read.parquet(path)).collect()} == {75, 12}
+
+
 def test_cascade_and_set_null(spark):
     parents, children = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(1, 1), (2, 2), (3, None)], "c int, p int")
     assert [r.c for r in up.cascade(children, parents, "p").orderBy("c").collect()] == [2, 3]
