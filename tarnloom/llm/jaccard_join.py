@@ -457,8 +457,9 @@ def _open_pairs(stars: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     by_lead = open_.select("lead", "cls", "root").distinct()
     by_part = mixed.groupBy("lead").agg(F.sum(in_blocks(F.col("m"))).alias("by_part"))
     whole = by_lead.groupBy("lead").agg(F.count("*").alias("m")).join(by_part, "lead").select("lead", (in_blocks(F.col("m")) <= F.col("by_part")).alias("whole"))
+    parts = mixed.join(whole.filter("not whole"), "lead").select("key")
     group = lambda rows, of, kind: rows.select(F.col(of).alias("of"), F.lit(kind).alias("kind"), "cls", "root")
-    rows = group(by_lead.join(whole.filter("whole"), "lead"), "lead", 0).unionByName(group(open_.join(whole.filter("not whole"), "lead"), "key", 1))
+    rows = group(by_lead.join(whole.filter("whole"), "lead"), "lead", 0).unionByName(group(open_.join(parts, "key"), "key", 1))
 
     # the classes of a group's largest component have sides of their own, which do not meet each other
     of_root = rows.groupBy("of", "kind", "root").agg(F.count("*").alias("n"))
