@@ -417,7 +417,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     release_shuffles(spark)
     links = materialize(links.unionByName(_linked(doc, classes, rest, words, percent, seed)), "linked")
     roots = connected_components(links)
-    discard(stars, near, others, rest)
+    discard(stars, classes, near, others, rest)
     release_shuffles(spark)
 
     of_class = first_of.join(roots.withColumnRenamed("node", "cls"), "cls")

@@ -33,7 +33,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, new_path
+from ..storage import new_path
+from .store import materialize
 
 BLOCK_ROWS = 8
 #: Rows that are numbered together.

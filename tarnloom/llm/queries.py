@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
 from . import decontamination, exact_dedup, jaccard_join, mixing, pseudonyms, quality, secrets, sharding, token_counts, warc
-from .store import new_path
 
 #: Target weights of the mix; sources that are not named weigh 1.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}

@@ -7,36 +7,10 @@ blocks and local checkpoints do not.
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where none is set and all runs on one machine."""
-    sc = spark.sparkContext
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    if not re.match(r"local(\[|$)", sc.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tarnloom-")
-    sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tarnloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop_path)
-    return path
+from ..storage import new_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
