@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnloom.llm import decontamination, jaccard_join, mixing, quality, sharding
 from tarnloom.llm.queries import MIX_WEIGHTS, table
-from tarnloom.llm.store import new_path
+from tarnloom.storage import new_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
