@@ -38,7 +38,7 @@ from .store import materialize
 
 BLOCK_ROWS = 8
 #: Rows that are numbered together.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 #: Slots of a schedule that is broadcast; larger ones are joined as Spark sees fit.
 BROADCAST_SLOTS = 500_000
 #: Rows that the driver collects before it writes them.
