@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes that one pass holds at most (a longer single text is a pass of its own).
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 #: Bytes of text that are taken out of a batch at once (a longer single text alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _STEP = 0x9E3779B97F4A7C15
