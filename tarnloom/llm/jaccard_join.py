@@ -290,7 +290,8 @@ def block_pairs(names: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketche
     order = np.lexsort((names, sizes))
     names, roots, sizes, sides = names[order], roots[order], sizes[order], sides[order]
     widths = np.array([len(sketches[k]) for k in order])
-    by_width = {w: np.stack([sketches[k] for k, of in zip(order, widths, strict=True) if of == w]) for w in np.unique(widths).tolist()}
+    # unsigned: of a negative number NumPy counts the bits of its absolute value
+    by_width = {w: np.stack([sketches[k] for k, of in zip(order, widths, strict=True) if of == w]).view(np.uint64) for w in np.unique(widths).tolist()}
     first = {w: int(np.searchsorted(widths, w)) for w in by_width}  # widths never fall as sizes grow
     for w, own in by_width.items():
         wider = [(first[w], own, True)]

@@ -109,6 +109,27 @@ def test_near_duplicates_of_a_crowd(spark, monkeypatch, hot, block):
     assert near_got(jaccard_join.near_duplicates(docs)) == near_brute(rows)
 
 
+@pytest.mark.parametrize(("least", "broadcast", "block"), [(2, 500_000, 2048), (3, 0, 4)])
+def test_very_common_parts_are_dealt_out(spark, monkeypatch, least, broadcast, block):
+    """All parts that several classes share, or many of them, go the way of the very common ones; one group is joined by its largest component."""
+    for name, value in {"SAMPLE_ONE_IN": 1, "BUSY_LEAST": least, "BUSY_ONE_IN": 10**9, "SALTS": 3, "MOST_BROADCAST": broadcast, "BLOCK_ROWS": block}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = crowd(seed=5, n_groups=4, size=30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert jaccard_join._busy(docs.select("doc_id", "text"), 5, 80).count() > 100
+    assert near_got(jaccard_join.near_duplicates(docs)) == near_brute(rows)
+
+
+def test_names_of_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in [*range(1, 300)] * 3]
+    for seed in (0, 1):
+        assert len({jaccard_join.set_class(s, seed) for s in sets}) == len({jaccard_join.set_check(s) for s in sets}) == len(sets)
+    assert all(jaccard_join.set_class(s) == jaccard_join.set_class(s.copy()) != jaccard_join.set_class(s, 1) for s in sets)
+
+
 def test_every_link_shares_a_key():
     """Without stars or blocks: sets at the very threshold share an emitted part, for all sizes and in both roles."""
     import numpy as np
