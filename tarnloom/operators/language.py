@@ -59,8 +59,9 @@ class LanguageModel:
         return self.languages[best] if probability >= LEAST_PROBABILITY else None
 
 
-    def detect_all(self, texts: list[str | None]) -> list[str | None]:
-        """:meth:`detect` for many texts: grams of all of them in a few passes over one array."""
+    @classmethod
+    def gram_keys(cls, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The grams of many texts as numbers, in a few passes over one array, and the text of each (-1 between two texts)."""
         lowered = [(t or "").lower() for t in texts]
         # each text between two separators, which are its outer spaces
         points = np.frombuffer("".join(f"\n{t}\n" for t in lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -72,7 +73,11 @@ class LanguageModel:
         kept[1:] |= letter[:-1]
         kept[leads] = True
         points, of = np.where(letter, points, 32)[kept].astype(np.uint64), of[kept]
-        grams, of = self._keys([points[:-2], points[1:-1], points[2:]]), np.where(of[:-2] == of[2:], of[:-2], -1)
+        return cls._keys([points[:-2], points[1:-1], points[2:]]), np.where(of[:-2] == of[2:], of[:-2], -1)
+
+    def detect_all(self, texts: list[str | None]) -> list[str | None]:
+        """:meth:`detect` for many texts."""
+        grams, of = self.gram_keys(texts)
         at = np.minimum(np.searchsorted(self.keys, grams), max(len(self.keys) - 1, 0))
         known = (self.keys[at] == grams) & (of >= 0) if len(self.keys) else np.zeros(len(grams), dtype=bool)
         at, of = at[known], of[known]
@@ -92,10 +97,21 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
     # Spark keeps the first rows of each language per task before the shuffle (window group limit)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     chosen = labelled.withColumn("nth", nth).filter(F.col("nth") <= TEXTS_PER_LANGUAGE)
-    counts: dict[str, Counter] = {}
+    texts: dict[str, list[str]] = {}
     for lang, text in chosen.select("lang", "text").collect():
-        counts.setdefault(lang, Counter()).update(LanguageModel.grams(text))
-    return LanguageModel({k: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:GRAMS_KEPT]) for k, c in counts.items()})
+        texts.setdefault(lang, []).append(text)
+    return LanguageModel({lang: most_frequent(own) for lang, own in texts.items()})
+
+
+def most_frequent(texts: list[str]) -> dict[str, int]:
+    """The ``GRAMS_KEPT`` most frequent grams with their counts, the first in order of characters on a tie."""
+    counts: Counter = Counter()
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        keys, of = LanguageModel.gram_keys(texts[at : at + TEXTS_AT_ONCE])
+        for key, n in zip(*(x.tolist() for x in np.unique(keys[of >= 0], return_counts=True)), strict=True):
+            counts[key] += n
+    chosen = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:GRAMS_KEPT]
+    return {"".join(chr(key >> shift & 0x1FFFFF) for shift in (42, 21, 0)): n for key, n in chosen}
 
 
 def detector(model: LanguageModel):

@@ -1,3 +1,4 @@
+import collections
 import datetime
 import random
 import re
@@ -130,4 +131,6 @@ def test_languages_of_many_texts_equal_one_by_one(spark, sf):
     model = la.train(docs)
     texts = [r.text[:4000] for r in docs.collect()] + [None, "", " ", "é", "ab", "İstanbul Σίσυφος ΟΔΟΣ", "a1b2c3 the and of", "漢字 😀"]
     assert model.detect_all(texts) == [None if t is None else model.detect(t) for t in texts]
+    counted = collections.Counter(g for t in texts for g in la.LanguageModel.grams(t or ""))
+    assert la.most_frequent(texts) == dict(sorted(counted.items(), key=lambda x: (-x[1], x[0]))[: la.GRAMS_KEPT])
     assert la.LanguageModel({}).detect_all(["abc", None]) == [None, None]
