@@ -69,8 +69,7 @@ def alpha_ratio(text: Column) -> Column:
 
 def can_detect_language(text: Column) -> Column:
     """The sample is long enough, and enough of it is letters."""
-    s = strip(sample(text))
-    return (F.length(s) >= LEAST_CHARS) & F.coalesce(alpha_ratio(s) >= LEAST_ALPHA, F.lit(False))
+    return let(strip(sample(text)), lambda s: (F.length(s) >= LEAST_CHARS) & F.coalesce(alpha_ratio(s) >= LEAST_ALPHA, F.lit(False)))
 
 
 _MONTH = "(" + "|".join(sorted(MONTHS, key=lambda m: (-len(m), m))) + ")"
