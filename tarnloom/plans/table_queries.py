@@ -170,10 +170,14 @@ def ag_step_limit(spark, sf_dir):
 @query(r"""SELECT url AS source, sha256(string_agg(letters, '')) AS letters FROM (
              SELECT url, html, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>?', ' ', 'g'), '&(amp|copy|middot|quot);?|\P{L}', '', 'g') AS letters FROM pages) GROUP BY url""")
 def src_html_letters(spark, sf_dir):
-    """All letters that a page shows, in order, whatever the marks around them."""
-    read = fi.extract_local(fi.read_pages(t(spark, sf_dir, "pages")))
+    """All letters that an address shows, in order, whatever the marks around them; its pages follow each other by id."""
+    read = fi.extract_local(fi.read_pages(t(spark, sf_dir, "pages"), "page_id"))
     shown = F.array_join(F.transform("segments", lambda s: s["text"]), " ")
-    return read.select("source", F.sha2(F.regexp_replace(F.regexp_replace(shown, r"\]\([^)\n]*\)", ""), r"\P{L}", ""), 256).alias("letters"))
+    letters = F.when(F.col("content").isNotNull(), F.regexp_replace(F.regexp_replace(shown, r"\]\([^)\n]*\)", ""), r"\P{L}", ""))
+    of_page = read.select("source", "page_id", letters.alias("letters"))
+    pages = F.array_sort(F.collect_list(F.when(F.col("letters").isNotNull(), F.struct("page_id", "letters"))))
+    whole = of_page.groupBy("source").agg(pages.alias("pages"))
+    return whole.select("source", F.when(F.size("pages") > 0, F.sha2(F.array_join(F.col("pages.letters"), ""), 256)).alias("letters"))
 
 
 @query("SELECT 0::BIGINT AS bad_offsets, 0::BIGINT AS bad_counts, 0::BIGINT AS too_long, true AS some")

@@ -65,9 +65,9 @@ def load_strict(files: DataFrame) -> DataFrame:
     return extract_local(files).withColumn("error", F.coalesce("error", F.when(F.size("segments") == 0, "No extractable text found in the uploaded file.")))
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """Crawled pages (``url, html``) as files: the offline stand-in for fetching."""
-    return pages.select(F.col("html").cast("binary").alias("content"), F.lit("page.html").alias("filename"), F.lit(mime.HTML).alias("content_type"), F.col("url").alias("source"))
+def read_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """Crawled pages (``url, html``) as files, with their columns ``keep``: the offline stand-in for fetching."""
+    return pages.select(F.col("html").cast("binary").alias("content"), F.lit("page.html").alias("filename"), F.lit(mime.HTML).alias("content_type"), F.col("url").alias("source"), *keep)
 
 
 def cached_segments(extracted: Column) -> Column:
