@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.metadata import contains, validate_filter
 from ..functions.text import context_of, preview
 from ..functions.vector import cosine_distance, literal
+from .nearest import nearest
 
 DEFAULT_K, MOST_K = 5, 20
 QUESTION_LENGTH = 2000
@@ -94,29 +95,4 @@ def lsh_topk_of_many(chunks: DataFrame, queries: DataFrame, k: int, id_col: str
     of 100 neighbours by ranking four rows in five, which is no gain over the exact search.
     Vectors in clusters need narrower cells.
     """
-    import random
-
-    rng = random.Random(seed)
-    stated = [(r[0], [float(x) for x in r[1]]) for r in queries.select(query_id_col, query_vector_col).orderBy(query_id_col).toLocalIterator()]
-    size = len(stated[0][1]) if stated else 1
-    planes = [[rng.gauss(0, 1) for _ in range(size)] for _ in range(tables * projections)]
-    unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v]
-    # a projection of a unit vector on a standard normal one is standard normal
-    cells = lambda v: [math.floor(sum(x * y for x, y in zip(unit(v), p, strict=True)) / width) for p in planes]
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("length", length).filter((F.col("length") > 0) & (F.size("v") == size))
-    dot = lambda p: F.aggregate(F.zip_with("v", p, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    hashed = rows.withColumn("cells", F.transform(F.array(*map(literal, planes)), lambda p: F.floor(dot(p) / F.col("length") / width).cast("int")))
-    out: DataFrame | None = None
-    for at in range(0, len(stated), queries_at_once):
-        block = F.array(*(F.struct(F.lit(i).alias("query_id"), literal(v).alias("vector"), F.lit(math.sqrt(sum(x * x for x in v))).alias("length"), F.array(*map(F.lit, cells(v))).alias("cells")) for i, v in stated[at : at + queries_at_once]))
-        pairs = hashed.withColumn("q", F.explode(block))
-        apart = F.zip_with("cells", "q.cells", lambda x, y: F.abs(x - y))
-        table = F.sequence(F.lit(0), F.lit(tables - 1))
-        near = F.exists(table, lambda t: F.array_max(F.slice(apart, t * projections + 1, projections)) <= widen)
-        found = pairs.filter(near).select("id", F.col("q.query_id").alias("query_id"), cosine_distance(F.col("v"), F.col("q.vector"), F.col("length"), F.col("q.length")).alias("distance")).filter("distance is not null")
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    if out is None:
-        return chunks.select(F.lit(0).alias("query_id"), F.col(id_col).alias("id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    return out
+    return nearest(chunks.select(id_col, vector_col), queries.select(query_id_col, query_vector_col), k, queries_at_once, (tables, projections, width, widen, seed))

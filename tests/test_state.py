@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,34 @@ def test_lsh_recall(spark):
     assert narrow[0] < narrow[1]
 
 
+@pytest.mark.parametrize(("width", "widen"), [(2.4, 0), (0.5, 0), (0.5, 1)])
+def test_lsh_ranks_all_rows_that_share_a_bucket(spark, width, widen):
+    """Against buckets that are made one by one, for more queries than a block holds and in one pass over the rows."""
+    rng, draw = random.Random(11), random.Random(4)
+    planes = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(4 * 3)]
+    rows = [(i, [draw.gauss(0, 1) for _ in range(6)]) for i in range(400)] + [(400 + i, [1.0, 0.0, 2.0, 0.0, 3.0, 0.0]) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    length = {i: math.sqrt(sum(x * x for x in v)) for i, v in rows}
+    cells = {i: [math.floor(sum(x * y for x, y in zip(v, p)) / length[i] / width) for p in planes] for i, v in rows}
+    near = lambda a, b: any(all(abs(x - y) <= widen for x, y in zip(a[t : t + 3], b[t : t + 3])) for t in range(0, 12, 3))
+    stated = [r for r in rows if r[0] % 4 == 0]
+    found = vs.lsh_topk_of_many(chunks, spark.createDataFrame(stated, "query_id long, vector array<double>"), 10, tables=4, projections=3, width=width, widen=widen)
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for q, v in stated:
+        sums = [(sum_in_order(x * y for x, y in zip(w, v)), i) for i, w in rows if near(cells[i], cells[q])]
+        assert got[q] == [i for _, i in sorted((1 - s / (length[i] * length[q]), i) for s, i in sums)][:10]
+
+
+def sum_in_order(numbers):
+    total = 0.0
+    for x in numbers:
+        total += x
+    return total
+
+
 def test_retrieve_refuses_blank_questions(spark):
     chunks = spark.createDataFrame([("a", "o", "T", "content", hashed_vectors(["find me"])[0])], "id string, owner_id string, document_title string, content string, embedding array<float>")
     embed = lambda s: hashed_vectors([s])[0]
