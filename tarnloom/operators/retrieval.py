@@ -40,20 +40,10 @@ def topk(chunks: DataFrame, query: list[float], k: int, owner: object | None = N
 def topk_of_many(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", query_id_col: str = "query_id", query_vector_col: str = "vector", queries_at_once: int = 64) -> DataFrame:
     """``query_id, id, distance, rank`` for a stated set of queries, compared in blocks of ``queries_at_once``.
 
-    A block is part of the plan as literals; each task keeps the k best of each query among
-    its rows (window group limit) before anything is shuffled.
+    Every query is compared with every row, as matrices; each task keeps the k best of each
+    query among its rows before anything is shuffled.
     """
-    stated = [(r[0], [float(x) for x in r[1]]) for r in queries.select(query_id_col, query_vector_col).orderBy(query_id_col).toLocalIterator()]
-    out: DataFrame | None = None
-    for at in range(0, len(stated), queries_at_once):
-        block = F.array(*(F.struct(F.lit(i).alias("query_id"), literal(v).alias("vector"), F.lit(math.sqrt(sum(x * x for x in v))).alias("length")) for i, v in stated[at : at + queries_at_once]))
-        pairs = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
-        pairs = pairs.withColumn("q", F.explode(block)).select("id", F.col("q.query_id").alias("query_id"), cosine_distance(F.col("v"), F.col("q.vector"), F.col("length"), F.col("q.length")).alias("distance")).filter("distance is not null")
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).filter(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    if out is None:
-        return chunks.select(F.lit(0).alias("query_id"), F.col(id_col).alias("id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    return out
+    return nearest(chunks.select(id_col, vector_col), queries.select(query_id_col, query_vector_col), k, queries_at_once)
 
 
 def source_rows(ranked: DataFrame) -> DataFrame:

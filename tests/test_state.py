@@ -60,6 +60,26 @@ def test_lsh_recall(spark):
     assert narrow[0] < narrow[1]
 
 
+def test_many_queries_on_odd_rows(spark):
+    """Odd vectors, copies beyond k and ids of words: to the last bit what one query at a time finds, in one pass over the rows."""
+    rng = random.Random(3)
+    rows = [(f"r{i}", [rng.gauss(0, 1) for _ in range(5)]) for i in range(300)] + [(f"c{i}", [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(40)] + [(f"d{i}", [2.0, 4.0, 6.0, 8.0, 10.0]) for i in range(9)]
+    rows += [("null", None), ("short", [1.0]), ("none", []), ("zero", [0.0] * 5), ("hole", [1.0, None, 1.0, 1.0, 1.0]), ("nan", [float("nan")] * 5), (None, [5.0, 4.0, 3.0, 2.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3)
+    queries = chunks.filter("id in ('c1', 'd1', 'nan', 'null', 'short', 'zero') or id like 'r_' or id like 'r1__'").selectExpr("id as query_id", "embedding as vector")
+    plan = vs.topk_of_many(chunks, queries.filter("query_id <> 'short'"), 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("MapInArrow") == 1
+    for k in (7, 400):
+        got = {}
+        for r in vs.topk_of_many(chunks, queries, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, repr(r.distance)))
+        assert set(got) == {r.query_id for r in queries.collect()} - {"null", "zero"} and len(got) == 114
+        for q in queries.filter("query_id in ('c1', 'd1', 'r3', 'r150', 'nan', 'short')").collect():
+            one = vs.topk(chunks.filter("id is null or id <> 'zero'"), list(q.vector), k).orderBy("rank").collect()
+            assert got[q.query_id] == [(r.id, repr(r.distance)) for r in one]
+    assert vs.topk_of_many(chunks, queries.limit(0), 7).count() == 0
+
+
 @pytest.mark.parametrize(("width", "widen"), [(2.4, 0), (0.5, 0), (0.5, 1)])
 def test_lsh_ranks_all_rows_that_share_a_bucket(spark, width, widen):
     """Against buckets that are made one by one, for more queries than a block holds and in one pass over the rows."""
